@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from levelweave.plans.skew import skew_join
+from levelweave.plans.storage import cut
 
 BLANKS = " \t"
 _INDEX = r"^[0-9]+$"
@@ -79,7 +80,7 @@ def parse_triplets(lines: DataFrame, graphs: DataFrame) -> DataFrame:
     split = known.withColumn("quoted_ok", F.coalesce(quoting_ok(F.col("line")), F.lit(True))).withColumn("f", f).withColumn("count_ok", F.coalesce((count == 3) | ((count == 2) & F.coalesce("is_pattern", F.lit(False))), F.lit(False)))
     get = lambda i: F.when(F.col("count_ok"), F.get("f", F.lit(i)))
     split = split.select("line_id", "graph_id", "line_no", "line", "n", "quoted_ok", "count_ok", get(0).alias("row_text"), get(1).alias("col_text"), get(2).alias("val_text"))
-    bad = invalid_values(split)
+    bad = cut(invalid_values(split))
     for column, kind in (("row", "index"), ("col", "index"), ("val", "val")):
         own = bad.filter(F.col("kind") == kind).select(F.col("text").alias(f"{column}_text"), F.col("detail").alias(f"{column}_bad"))
         split = skew_join(split, own, [f"{column}_text"], "left")
