@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from levelweave.llm.leakage import leaked
 from levelweave.llm.packing import container_fill, pack
+from levelweave.llm.toxicity import rates, score
 from levelweave.tables import table
 
 
@@ -21,5 +22,13 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return leaked(table(spark, d, "documents"), table(spark, d, "benchmark"))
 
 
-QUERIES = {q.__name__: q for q in (p5_pack, p5_containers, p6_found)}
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return score(table(spark, d, "documents"), table(spark, d, "labels")).filter("toxic").select("doc_id").distinct()
+
+
+def p7_rates(spark: SparkSession, d: str) -> DataFrame:
+    return rates(score(table(spark, d, "documents"), table(spark, d, "labels")))
+
+
+QUERIES = {q.__name__: q for q in (p5_pack, p5_containers, p6_found, p7_found, p7_rates)}
 SQL: dict[str, str] = {}

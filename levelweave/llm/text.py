@@ -7,7 +7,7 @@ import json
 import re
 import unicodedata
 
-_ANSI = re.compile(r"(?:\x1b|\\u001b|\\x1b|\\033)?\[[0-9;]{1,8}m")
+_ANSI = re.compile(r"\[[0-9;]{1,8}m")
 _TAG = re.compile(r"</?[A-Za-z][^<>]{0,200}>")
 _ESCAPE = re.compile(r"\\(?:u([0-9a-fA-F]{4})|x([0-9a-fA-F]{2})|[nrt\"'])")
 _PERCENT_MARK = re.compile(r"^# ?%%.*$", re.M)
@@ -86,14 +86,14 @@ def unmarked(text: str) -> str:
     """``text`` without terminal codes, tags, entities, written-out escapes and long encoded runs."""
     if len(text) > 120:
         text = _BLOB.sub(" ", text)
-    if "[" in text:
-        text = _ANSI.sub("", text)
     if "<" in text:
         text = _TAG.sub(" ", text)
     if "&" in text:
         text = html.unescape(text)
     if "\\" in text:
         text = _ESCAPE.sub(_unescape, text)
+    if "[" in text:
+        text = _ANSI.sub("", text).replace("\x1b", "")
     return text
 
 
