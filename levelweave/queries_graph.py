@@ -100,7 +100,6 @@ def matrix_add(spark: SparkSession, d: str) -> DataFrame:
     return algebra.add(m, algebra.transpose(m), 2.0, -1.0).withColumn("val", F.round("val", 6))
 
 
-_PERM = """k AS (SELECT graph_id, node AS old, (SELECT count(*) FROM m WHERE m.graph_id = v.graph_id AND m."row" <> m.col AND (m."row" = v.node OR m.col = v.node)) AS degree FROM v)"""
 _DEG = """k AS (SELECT v.graph_id, v.node AS old, coalesce(n, 0) AS degree FROM v LEFT JOIN (SELECT graph_id, node, count(*) AS n FROM (SELECT graph_id, "row" AS node FROM m WHERE "row" <> col UNION ALL SELECT graph_id, col FROM m WHERE "row" <> col) GROUP BY 1, 2) c ON c.graph_id = v.graph_id AND c.node = v.node),
  p AS (SELECT graph_id, old, row_number() OVER (PARTITION BY graph_id ORDER BY degree DESC, old) - 1 AS new FROM k)"""
 
@@ -179,7 +178,7 @@ def matrix_coarsened(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {_M}, c AS (SELECT graph_id, col, count(*) AS nnz FROM m GROUP BY 1, 2),
  s AS (SELECT graph_id, (col // 4096) * 4096 AS col_lo, max(col) AS hi, CAST(sum(nnz) AS BIGINT) AS nnz FROM c GROUP BY 1, 2)
- SELECT s.graph_id, col_lo, hi - col_lo + 1 AS n, s.nnz, (SELECT string_agg(CAST(coalesce(x, 0) AS VARCHAR), ',' ORDER BY j) FROM (SELECT j, (SELECT CAST(sum(c.nnz) AS BIGINT) FROM c WHERE c.graph_id = s.graph_id AND c.col >= s.col_lo AND c.col < s.col_lo + j) AS x FROM (SELECT unnest(range(0, s.hi - s.col_lo + 2)) AS j))) AS p FROM s""".replace("(SELECT string_agg", "(SELECT string_agg"))
+ SELECT s.graph_id, col_lo, hi - col_lo + 1 AS n, s.nnz, (SELECT string_agg(CAST(coalesce(x, 0) AS VARCHAR), ',' ORDER BY j) FROM (SELECT j, (SELECT CAST(sum(c.nnz) AS BIGINT) FROM c WHERE c.graph_id = s.graph_id AND c.col >= s.col_lo AND c.col < s.col_lo + j) AS x FROM (SELECT unnest(range(0, s.hi - s.col_lo + 2)) AS j))) AS p FROM s""")
 def compressed_columns(spark: SparkSession, d: str) -> DataFrame:
     return algebra.compressed(_entries(spark, d)).withColumn("p", F.array_join(F.col("p").cast("array<string>"), ","))
 
@@ -260,7 +259,7 @@ def elimination_tree(spark: SparkSession, d: str) -> DataFrame:
 _CC = "SELECT graph_id, src AS a, dst AS b FROM e UNION SELECT graph_id, dst, src FROM e"
 
 
-@query(f"WITH RECURSIVE {_E}, {_V}, u AS ({_CC}), w AS (SELECT graph_id, node, node AS c FROM v UNION SELECT w.graph_id, u.b, w.c FROM w JOIN u ON u.graph_id = w.graph_id AND u.a = w.node WHERE w.c < u.b) SELECT graph_id, node, min(c) AS component FROM w GROUP BY 1, 2".replace("UNION SELECT w.graph_id", "UNION SELECT w.graph_id"))
+@query(f"WITH RECURSIVE {_E}, {_V}, u AS ({_CC}), w AS (SELECT graph_id, node, node AS c FROM v UNION SELECT w.graph_id, u.b, w.c FROM w JOIN u ON u.graph_id = w.graph_id AND u.a = w.node WHERE w.c < u.b) SELECT graph_id, node, min(c) AS component FROM w GROUP BY 1, 2")
 def weak_components(spark: SparkSession, d: str) -> DataFrame:
     return cells.components(*_graph(spark, d))
 
@@ -295,8 +294,8 @@ def level_coarsening(spark: SparkSession, d: str) -> DataFrame:
 @query(_LEVEL + """, h AS (SELECT graph_id, level, count(*) AS width FROM l GROUP BY 1, 2),
  s AS (SELECT graph_id, max(level) + 1 AS height, coalesce(max(CASE WHEN width > 1 THEN level + 1 END), 0) AS last FROM h GROUP BY 1),
  c AS (SELECT graph_id, height, unnest(list_concat([0], CASE WHEN height <= 4 THEN [] ELSE list_filter(list_concat([4], range(9, greatest(9, last), 5)), lambda x: x < height) END)) AS lb FROM s),
- w AS (SELECT *, row_number() OVER (PARTITION BY graph_id ORDER BY lb) - 1 AS w, coalesce(lead(lb) OVER (PARTITION BY graph_id ORDER BY lb), height) AS ub FROM c)
- SELECT w.graph_id, CAST(w AS INTEGER) AS "window", CAST(lb AS INTEGER) AS lb, CAST(ub AS INTEGER) AS ub, CAST(CASE WHEN ub = height THEN 1 ELSE greatest(1, least(6, CASE WHEN ub = 4 THEN width // 2 ELSE width END)) END AS INTEGER) AS parts FROM w LEFT JOIN h ON h.graph_id = w.graph_id AND h.level = ub - 1""")
+ q AS (SELECT *, row_number() OVER (PARTITION BY graph_id ORDER BY lb) - 1 AS w, coalesce(lead(lb) OVER (PARTITION BY graph_id ORDER BY lb), height) AS ub FROM c)
+ SELECT q.graph_id, CAST(q.w AS INTEGER) AS "window", CAST(lb AS INTEGER) AS lb, CAST(ub AS INTEGER) AS ub, CAST(CASE WHEN ub = height THEN 1 ELSE greatest(1, least(6, CASE WHEN ub = 4 THEN width // 2 ELSE width END)) END AS INTEGER) AS parts FROM q LEFT JOIN h ON h.graph_id = q.graph_id AND h.level = ub - 1""")
 def height_windows(spark: SparkSession, d: str) -> DataFrame:
     return schedule.dag_windows(levels.level_sets(*_graph(spark, d)), 6, 4, 5)
 
@@ -521,14 +520,14 @@ def weighted_partition(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH RECURSIVE {_E}, {_V}, i AS (SELECT graph_id, dst AS node, count(*) AS n FROM e GROUP BY 1, 2),
- s AS (SELECT v.graph_id, v.node, CAST(v.node % 7 AS DOUBLE) / (1 + coalesce(n, 0)) AS x, 1 + coalesce(n, 0) AS d FROM v LEFT JOIN i ON i.graph_id = v.graph_id AND i.node = v.node),
+ s AS (SELECT v.graph_id, v.node, CAST(v.node % 7 AS DOUBLE) / (1.3 + coalesce(n, 0)) AS x, CAST(1.3 + coalesce(n, 0) AS DOUBLE) AS d FROM v LEFT JOIN i ON i.graph_id = v.graph_id AND i.node = v.node),
  w AS (SELECT graph_id, node, x, 0 AS k FROM s UNION ALL SELECT e.graph_id, e.dst, sum(w.x) / any_value(s.d), any_value(w.k) + 1 FROM w JOIN e ON e.graph_id = w.graph_id AND e.src = w.node JOIN s ON s.graph_id = e.graph_id AND s.node = e.dst GROUP BY e.graph_id, e.dst)
  SELECT graph_id, node, round(sum(x), 7) AS x FROM w GROUP BY 1, 2""")
 def triangular_solve(spark: SparkSession, d: str) -> DataFrame:
-    """Forward substitution with unit off-diagonals -1 and diagonal 1 + in-degree."""
+    """Forward substitution with unit off-diagonals -1 and diagonal 1.3 + in-degree."""
     e, v = _graph(spark, d)
     ins = e.groupBy("graph_id", F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("n"))
-    diag = v.join(ins, ["graph_id", "node"], "left").select("graph_id", F.col("node").alias("row"), F.col("node").alias("col"), (1.0 + F.coalesce("n", F.lit(0))).alias("val"))
+    diag = v.join(ins, ["graph_id", "node"], "left").select("graph_id", F.col("node").alias("row"), F.col("node").alias("col"), (1.3 + F.coalesce("n", F.lit(0))).alias("val"))
     lower = e.select("graph_id", F.col("dst").alias("row"), F.col("src").alias("col"), F.lit(-1.0).alias("val")).unionByName(diag)
     x = solve.solve_lower(lower, v.select("graph_id", "node", (F.col("node") % 7).alias("b")))
     return x.select("graph_id", "node", F.round("value", 7).alias("x"))

@@ -9,8 +9,8 @@ from levelweave.plans.skew import skew_join
 from levelweave.plans.storage import cut
 
 BLANKS = " \t"
-_INDEX = r"^[0-9]+$"
-_DECIMAL = r"^[+-]?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?$"
+_INDEX = r"^[0-9]+\z"
+_DECIMAL = r"^[+-]?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?\z"
 _COMMA = "\u0001"  # stands for a comma inside quotes; no valid value holds either
 
 
@@ -26,13 +26,11 @@ def quoting_ok(line: Column) -> Column:
     blanks between it and the quotes around it.
     """
     parts = F.split(line, '"', -1)
-    last = F.size(parts) - 1
-
-    def piece(s: Column, i: Column) -> Column:
-        middle = (s == "") | s.rlike(r"(?s)^[ \t]*,(?:.*,)?[ \t]*$")
-        return F.when(i % 2 == 1, F.lit(True)).when(i == 0, s.rlike(r"(?s)(?:^|,)[ \t]*\z")).when(i == last, s.rlike(r"(?s)^[ \t]*(?:,|\z)")).otherwise(middle)
-
-    return ~line.contains('"') | ((last % 2 == 0) & F.forall(F.transform(parts, piece), lambda x: x))
+    first_ok = F.element_at(parts, 1).rlike(r"(?s)(?:^|,)[ \t]*\z")
+    last_ok = F.element_at(parts, -1).rlike(r"(?s)^[ \t]*(?:,|\z)")
+    middle = F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0)))  # every second piece from here is inside quotes
+    between = F.transform(middle, lambda s, i: (i % 2 == 0) | (s == "") | s.rlike(r"(?s)^[ \t]*,(?:.*,)?[ \t]*\z"))
+    return ~line.contains('"') | ((F.size(parts) % 2 == 1) & first_ok & last_ok & F.forall(between, lambda x: x))
 
 
 def fields_of(line: Column) -> Column:
