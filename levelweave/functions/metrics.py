@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from levelweave.functions.quantiles import later_middle, percentiles, value_counts
+
 
 def matrix_stats(entries: DataFrame) -> DataFrame:
     """Per graph n (columns that occur), nnz, flops and accesses of a forward solve, and entries next to the diagonal."""
@@ -50,3 +52,21 @@ def adjacency_share(schedule: DataFrame) -> DataFrame:
 def profitable(scheduling: Column, serial: Column, parallel: Column) -> Column:
     """Runs after which a schedule has paid for its making; null where the parallel run saves nothing."""
     return F.when(serial > parallel, scheduling / (serial - parallel))
+
+
+def factor_stats(entries: DataFrame) -> DataFrame:
+    """Per graph flops and accesses of an incomplete Cholesky by columns.
+
+    A column of k entries below its diagonal is scaled (k flops and a root) and updates the columns of its k
+    entries, each at the entries both have: counted as pairs of entries of a column, k (k + 1) / 2.
+    """
+    k = entries.filter("row > col").groupBy("graph_id", "col").agg(F.count(F.lit(1)).alias("k"))
+    every = entries.select("graph_id", "col").distinct().join(k, ["graph_id", "col"], "left").select("graph_id", F.coalesce("k", F.lit(0)).alias("k"))
+    pairs = F.floor(F.sum(F.col("k") * (F.col("k") + 1)) / 2)
+    return every.groupBy("graph_id").agg((F.count(F.lit(1)) + F.sum("k") + 2 * pairs).alias("flops"), (2 * F.count(F.lit(1)) + 2 * F.sum("k") + 3 * pairs).alias("accesses"))
+
+
+def middle(times: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """The element n // 2 of each key's sorted times, as a runner's median is taken: of two middles the later."""
+    state = value_counts(times, keys, [column], F.lit(0))
+    return percentiles(state, [*keys, "metric"], [500], later_middle).select(*keys, F.col("percentile").alias("middle"), F.col("n").alias("runs"))

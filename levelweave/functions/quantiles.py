@@ -10,7 +10,7 @@ range of the values and the relative error of every percentile by ``rel_error``.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -73,8 +73,18 @@ def _running(keys: int):
     return task
 
 
-def percentiles(state: DataFrame, keys: list[str], permille: list[int]) -> DataFrame:
-    """Per key the least value that at least p/1000 of its values don't exceed, for each p.
+def least_rank(n: Column, permille: Column) -> Column:
+    """Rank, from 1, of the least value that p/1000 of n values don't exceed."""
+    return F.floor((permille * n + 999) / 1000)
+
+
+def later_middle(n: Column, permille: Column) -> Column:
+    """Rank of element n // 2, counted from 0: of two middles the later."""
+    return F.floor(n / 2) + 1
+
+
+def percentiles(state: DataFrame, keys: list[str], permille: list[int], rank: Callable[[Column, Column], Column] = least_rank) -> DataFrame:
+    """Per key the value at the rank of each p: the least that at least p/1000 of its values don't exceed.
 
     Columns: keys, ``permille``, ``percentile``, ``n`` (values counted). Counts of all parts are
     summed, range-partitioned and sorted by (keys, value), so a key however large is spread over
@@ -92,8 +102,8 @@ def percentiles(state: DataFrame, keys: list[str], permille: list[int]) -> DataF
     w = W.partitionBy(*keys)
     piece = piece.withColumn("total", F.sum("held").over(w)).withColumn("offset", F.sum("held").over(w.orderBy("pid")) - F.col("held"))
     wanted = piece.withColumn("permille", F.explode(F.array(*[F.lit(p) for p in permille])))
-    rank = F.greatest(F.lit(1), F.floor((F.col("permille") * F.col("total") + 999) / 1000)).cast("long")
-    wanted = wanted.withColumn("rank", rank - F.col("offset")).filter((F.col("rank") > 0) & (F.col("rank") <= F.col("held")))
+    target = F.greatest(F.lit(1), rank(F.col("total"), F.col("permille"))).cast("long")
+    wanted = wanted.withColumn("rank", target - F.col("offset")).filter((F.col("rank") > 0) & (F.col("rank") <= F.col("held")))
     asked = wanted.groupBy(*keys, "pid").agg(F.first("total").alias("total"), F.array_sort(F.collect_list(F.struct("rank", "permille"))).alias("targets"))  # one entry per percentile
     names = [F.coalesce(F.hash(*keys), F.lit(0)).alias("h")]
     left = sums.select(*keys, "pid", "value", "n", "running", *names)

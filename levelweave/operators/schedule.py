@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from levelweave.operators.cells import components
 from levelweave.operators.levels import histogram
@@ -44,6 +45,60 @@ def dag_windows(levels: DataFrame, threads: int = 6, first: int = -1, every: int
     return spans.join(width, ["graph_id", "ub"], "left").select("graph_id", "window", "lb", "ub", parts.alias("parts"))
 
 
+def _root_end_cuts(widths: list[int], parts: int, least: int, rate: int) -> list[tuple[int, int, int]]:
+    """(lb, ub, parts) of one tree's windows, from its level widths."""
+    height, cuts, sizes, p = len(widths), [0], [], parts
+    while p > 1 and height > 2:
+        narrow = next((k for k in range(height) if widths[height - 1 - k] > p), height)
+        at = height - narrow - least
+        if cuts[-1] < at < height:
+            cuts.append(at)
+            sizes.append(p)
+        p //= rate
+    return list(zip(cuts, [*cuts[1:], height], [*sizes, 1]))
+
+
+def tree_windows(levels: DataFrame, parts: int = 8, least: int = 4, rate: int = 2) -> DataFrame:
+    """(graph_id, window, lb, ub, parts): height cuts of trees, from the root end.
+
+    For ``parts``, then ``parts / rate`` and so on, the levels at the root end that are no wider than that are skipped,
+    and a cut comes ``least`` levels below. Works on the level histogram, a row for each level of a graph.
+    """
+    rate = rate if rate > 1 else 10
+
+    def cuts(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = _root_end_cuts(pdf.sort_values("level")["width"].tolist(), parts, least, rate)
+        return pd.DataFrame([(int(pdf["graph_id"].iloc[0]), k, *w) for k, w in enumerate(found)], columns=["graph_id", "window", "lb", "ub", "parts"])
+
+    return histogram(levels).groupBy("graph_id").applyInPandas(cuts, "graph_id long, window int, lb int, ub int, parts int")
+
+
+def coarsened_tree(links: DataFrame, levels: DataFrame, costs: DataFrame | None = None, bins: int = 6, least: int = 4, rate: int = 2) -> DataFrame:
+    """Load-balanced coarsening of trees: windows from the root end; what hangs together in a window is one subtree, hence one part.
+
+    ``links`` has graph_id, node, parent; ``levels`` the height of each node above its deepest leaf.
+    """
+    placed = in_windows(levels, tree_windows(levels, bins, least, rate)).select("graph_id", "node", "window")
+    up = links.filter(F.col("parent").isNotNull()).select("graph_id", F.col("node").alias("src"), F.col("parent").alias("dst"))
+    comp, priced = window_components(up, placed, costs)
+    return schedule_of(levels, comp, worst_fit(priced, bins))
+
+
+def bundles(items: DataFrame, threshold: float) -> DataFrame:
+    """(graph_id, pos, bundle): consecutive items, a new bundle at each multiple of ``threshold`` that their sum passes."""
+    b = items.withColumn("block", F.floor(F.col("pos") / 65536))
+    over = W.partitionBy("graph_id").orderBy("block")
+    start = b.groupBy("graph_id", "block").agg(F.sum("weight").alias("held")).select("graph_id", "block", (F.sum("held").over(over) - F.col("held")).alias("start"))
+    before = F.sum("weight").over(W.partitionBy("graph_id", "block").orderBy("pos")) - F.col("weight")
+    return b.withColumn("inner", before).join(start, ["graph_id", "block"]).select("graph_id", "pos", F.floor((F.col("inner") + F.col("start")) / threshold).alias("bundle"))
+
+
+def as_groups(schedule: DataFrame, groups: DataFrame) -> DataFrame:
+    """A schedule of nodes as one of groups: (graph_id, level, part, node), each group once where it first runs."""
+    own = schedule.join(groups, ["graph_id", "node"])
+    return own.groupBy("graph_id", "group").agg(F.min(F.struct("level", "part", "node_level")).alias("at")).select("graph_id", "at.level", "at.part", "at.node_level", F.col("group").alias("node"))
+
+
 def in_windows(levels: DataFrame, windows: DataFrame) -> DataFrame:
     """``levels`` with the window of each level; windows of a graph are looked up level by level."""
     by_level = windows.select("graph_id", "window", F.explode(F.sequence("lb", F.col("ub") - 1)).alias("level"))
@@ -94,8 +149,6 @@ def partition_by_weight(items: DataFrame, parts: int) -> DataFrame:
     An item belongs to the part in which its middle lies: the sums before it are taken per block
     of positions and over the blocks. Balanced as a greedy walk is, and parallel.
     """
-    from pyspark.sql import Window as W
-
     b = items.withColumn("block", F.floor(F.col("pos") / 65536))
     per = b.groupBy("graph_id", "block").agg(F.sum("weight").alias("held"))
     over = W.partitionBy("graph_id").orderBy("block")
@@ -112,7 +165,7 @@ def schedule_of(levels: DataFrame, comp: DataFrame, packed: DataFrame) -> DataFr
     return own.join(levels, ["graph_id", "node"]).select("graph_id", F.col("window").cast("int").alias("level"), F.col("bin").cast("int").alias("part"), F.col("level").alias("node_level"), "node")
 
 
-def lbc(edges: DataFrame, levels: DataFrame, costs: DataFrame | None = None, bins: int = 6, first: int = -1, every: int = 10) -> DataFrame:
+def coarsened(edges: DataFrame, levels: DataFrame, costs: DataFrame | None = None, bins: int = 6, first: int = -1, every: int = 10) -> DataFrame:
     """Load-balanced coarsening: height windows, their components, worst-fit packing of these into ``bins``.
 
     Loads start at zero in every window, and ties are broken by number, so the schedule depends on the graph alone.
@@ -202,11 +255,11 @@ def merge_windows(pdf: pd.DataFrame, cores: int) -> pd.DataFrame:
     return pd.DataFrame({"graph_id": int(pdf["graph_id"].iloc[0]), "level": window, "part": part, "node_level": level, "node": node})
 
 
-def hdagg(edges: DataFrame, levels: DataFrame, costs: DataFrame, cores: int = 8, max_graph_rows: int = 500_000) -> DataFrame:
+def hybrid(edges: DataFrame, levels: DataFrame, costs: DataFrame, cores: int = 8, max_graph_rows: int = 500_000) -> DataFrame:
     """Hybrid aggregation: windows grow while their components spread evenly over ``cores``.
 
     The rule walks the levels of a graph in order, graph by graph; graphs of more than
-    ``max_graph_rows`` edges and nodes are cut by ``lbc`` instead, whose windows need no walk.
+    ``max_graph_rows`` edges and nodes are cut by ``coarsened`` instead, whose windows need no walk.
     """
     own = levels.join(costs, ["graph_id", "node"], "left").select("graph_id", "node", "level", F.coalesce("cost", F.lit(1.0)).alias("cost"), F.lit(None).cast("long").alias("src"))
     into = edges.select("graph_id", F.col("dst").alias("node"), F.lit(0).alias("level"), F.lit(0.0).alias("cost"), "src")
@@ -214,7 +267,7 @@ def hdagg(edges: DataFrame, levels: DataFrame, costs: DataFrame, cores: int = 8,
     large = rows.groupBy("graph_id").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > max_graph_rows).select("graph_id")  # at most rows / max_graph_rows
     schema = "graph_id long, level int, part int, node_level int, node long"
     walked = rows.join(F.broadcast(large), "graph_id", "left_anti").groupBy("graph_id").applyInPandas(lambda pdf: merge_windows(pdf, cores), schema)
-    return walked.unionByName(lbc(edges.join(F.broadcast(large), "graph_id", "left_semi"), levels.join(F.broadcast(large), "graph_id", "left_semi"), costs, cores))
+    return walked.unionByName(coarsened(edges.join(F.broadcast(large), "graph_id", "left_semi"), levels.join(F.broadcast(large), "graph_id", "left_semi"), costs, cores))
 
 
 def ungrouped(schedule: DataFrame, groups: DataFrame) -> DataFrame:

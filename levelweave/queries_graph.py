@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from levelweave.functions import metrics
 from levelweave.model import edges, entries, is_topological, nodes
-from levelweave.operators import algebra, cells, graphs, grouping, levels, schedule, solve, trees
-from levelweave.operators.hierarchy import hierarchy
+from levelweave.operators import algebra, cells, graphs, grouping, levels, schedule, solve, trees, walks
+from levelweave.operators.hierarchy import descendant_counts, hierarchy
 from levelweave.plans.storage import cut
 from levelweave.sources import generators, matrix_market
 from levelweave.tables import table
@@ -219,8 +219,6 @@ def _tree(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH RECURSIVE {_TREE}, a AS (SELECT graph_id, node, 0 AS level FROM r UNION SELECT a.graph_id, r.parent, a.level + 1 FROM a JOIN r ON r.graph_id = a.graph_id AND r.node = a.node WHERE r.parent IS NOT NULL) SELECT graph_id, node, max(level) AS level FROM a GROUP BY 1, 2")
 def tree_levels(spark: SparkSession, d: str) -> DataFrame:
     """Level of a tree node: its height above the deepest leaf below it."""
-    from levelweave.operators.hierarchy import descendant_counts
-
     return descendant_counts(_tree(spark, d)).select("graph_id", "node", F.col("height").cast("int").alias("level"))
 
 
@@ -422,27 +420,27 @@ def _costs(spark: SparkSession, d: str) -> DataFrame:
     return schedule.kernel_costs(_entries(spark, d)).select("graph_id", "node", F.col("sptrsv_left").cast("double").alias("cost"))
 
 
-def _lbc(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _coarsened(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     e, v = _graph(spark, d)
     lev = cut(levels.level_sets(e, v))
-    return e, v, cut(schedule.lbc(e, lev, _costs(spark, d), bins=6, first=4, every=5))
+    return e, v, cut(schedule.coarsened(e, lev, _costs(spark, d), bins=6, first=4, every=5))
 
 
 @query()
-def lbc_schedule(spark: SparkSession, d: str) -> DataFrame:
-    return _lbc(spark, d)[2]
+def coarsened_schedule(spark: SparkSession, d: str) -> DataFrame:
+    return _coarsened(spark, d)[2]
 
 
 _NONE = "SELECT CAST(NULL AS BIGINT) AS graph_id, CAST(NULL AS VARCHAR) AS kind, CAST(NULL AS BIGINT) AS node, CAST(NULL AS BIGINT) AS other WHERE false"
 
 
 @query(_NONE)
-def lbc_violations(spark: SparkSession, d: str) -> DataFrame:
-    e, v, s = _lbc(spark, d)
+def coarsened_violations(spark: SparkSession, d: str) -> DataFrame:
+    e, v, s = _coarsened(spark, d)
     return schedule.violations(s, e, v)
 
 
-def _hdagg(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _hybrid(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Reduced, grouped by trees, merged on the quotient graph and expanded again."""
     e, v = _graph(spark, d)
     reduced = cut(graphs.two_hop_reduction(e))
@@ -450,18 +448,18 @@ def _hdagg(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame
     q = cut(grouping.group_edges(reduced, g))
     members = g.select("graph_id", F.col("group").alias("node")).distinct()
     cost = schedule.group_costs(_costs(spark, d), g)
-    coarse = schedule.hdagg(q, cut(levels.level_sets(q, members)), cost, cores=8)
+    coarse = schedule.hybrid(q, cut(levels.level_sets(q, members)), cost, cores=8)
     return e, v, cut(schedule.ungrouped(coarse, g))
 
 
 @query()
-def hdagg_schedule(spark: SparkSession, d: str) -> DataFrame:
-    return _hdagg(spark, d)[2]
+def hybrid_schedule(spark: SparkSession, d: str) -> DataFrame:
+    return _hybrid(spark, d)[2]
 
 
 @query(_NONE)
-def hdagg_violations(spark: SparkSession, d: str) -> DataFrame:
-    e, v, s = _hdagg(spark, d)
+def hybrid_violations(spark: SparkSession, d: str) -> DataFrame:
+    e, v, s = _hybrid(spark, d)
     return schedule.violations(s, e, v)
 
 
@@ -536,3 +534,112 @@ def triangular_solve(spark: SparkSession, d: str) -> DataFrame:
 @query(f'WITH {_M}, s AS (SELECT graph_id, count(DISTINCT col) AS n, count(*) AS nnz, count(*) FILTER ("row" = col + 1) AS reuse FROM m GROUP BY 1) SELECT graph_id, n, nnz, 2 * (nnz - n) + n AS flops, 3 * (nnz - n) + 2 * n AS accesses, reuse, round(nnz / n, 6) AS nnz_per_row FROM s')
 def matrix_stats(spark: SparkSession, d: str) -> DataFrame:
     return metrics.matrix_stats(_entries(spark, d))
+
+
+@query(f"""WITH {_M}, k AS (SELECT graph_id, col, count(*) FILTER ("row" > col) AS k FROM m GROUP BY 1, 2) SELECT graph_id, CAST(count(*) + sum(k) + 2 * (sum(k * (k + 1)) // 2) AS BIGINT) AS flops, CAST(2 * count(*) + 2 * sum(k) + 3 * (sum(k * (k + 1)) // 2) AS BIGINT) AS accesses FROM k GROUP BY 1""")
+def factor_stats(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.factor_stats(_entries(spark, d))
+
+
+@query()
+def incomplete_cholesky(spark: SparkSession, d: str) -> DataFrame:
+    """Factor of the Laplacian-like matrix with off-diagonals -1 and diagonal 1 + degree."""
+    e, v = _graph(spark, d)
+    ends = e.select("graph_id", F.explode(F.array("src", "dst")).alias("node")).groupBy("graph_id", "node").agg(F.count(F.lit(1)).alias("n"))
+    diag = v.join(ends, ["graph_id", "node"], "left").select("graph_id", F.col("node").alias("row"), F.col("node").alias("col"), (1.0 + F.coalesce("n", F.lit(0))).alias("val"))
+    lower = e.select("graph_id", F.col("dst").alias("row"), F.col("src").alias("col"), F.lit(-1.0).alias("val")).unionByName(diag)
+    return solve.incomplete_cholesky(lower, v)
+
+
+@query()
+def depth_first_order(spark: SparkSession, d: str) -> DataFrame:
+    return walks.depth_first_order(*_graph(spark, d))
+
+
+@query()
+def groups_of_capped_trees(spark: SparkSession, d: str) -> DataFrame:
+    return walks.capped_trees(*_graph(spark, d), most=32)
+
+
+@query()
+def groups_breadth_first(spark: SparkSession, d: str) -> DataFrame:
+    return walks.capped_trees(*_graph(spark, d), most=32, breadth_first=True)
+
+
+@query()
+def greedy_runs(spark: SparkSession, d: str) -> DataFrame:
+    return walks.greedy_runs(*_graph(spark, d), window=16)
+
+
+@query()
+def breadth_first_parts(spark: SparkSession, d: str) -> DataFrame:
+    return walks.breadth_first_parts(*_graph(spark, d), weight=64.0)
+
+
+_FUSED = f"""{_E}, {_V}, {_M}, n AS (SELECT graph_id, max(node) + 1 AS n FROM v GROUP BY 1),
+ f AS (SELECT graph_id, src, dst FROM e UNION ALL SELECT e.graph_id, src + n, dst + n FROM e JOIN n ON n.graph_id = e.graph_id UNION ALL SELECT m.graph_id, col, "row" + n FROM m JOIN n ON n.graph_id = m.graph_id)"""
+
+
+def _fused(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """A solve, then a solve of the same matrix whose right-hand side is the product of the matrix and the first result."""
+    e, v = _graph(spark, d)
+    between = _entries(spark, d).select("graph_id", F.col("col").alias("src"), F.col("row").alias("dst"))
+    n = v.groupBy("graph_id").agg((F.max("node") + 1).alias("n"))
+    return graphs.merged_with(e, between, e, v), v.unionByName(v.join(n, "graph_id").select("graph_id", (F.col("node") + F.col("n")).alias("node")))
+
+
+@query(f"WITH {_FUSED} SELECT * FROM f")
+def fused_graph(spark: SparkSession, d: str) -> DataFrame:
+    return _fused(spark, d)[0]
+
+
+@query(f"WITH RECURSIVE {_FUSED}, a AS (SELECT graph_id, node FROM v UNION ALL SELECT v.graph_id, node + n FROM v JOIN n ON n.graph_id = v.graph_id), w AS (SELECT graph_id, node, 0 AS level FROM a UNION SELECT w.graph_id, f.dst, w.level + 1 FROM w JOIN f ON f.graph_id = w.graph_id AND f.src = w.node) SELECT graph_id, node, max(level) AS level FROM w GROUP BY 1, 2")
+def fused_level_set(spark: SparkSession, d: str) -> DataFrame:
+    return levels.level_sets(*_fused(spark, d))
+
+
+def _tree_plan(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    t = _tree(spark, d)
+    height = cut(descendant_counts(t).select("graph_id", "node", F.col("height").cast("int").alias("level")))
+    up = t.filter("parent is not null").select("graph_id", F.col("node").alias("src"), F.col("parent").alias("dst"))
+    return up, t.select("graph_id", "node"), cut(schedule.coarsened_tree(t, height, bins=6))
+
+
+@query()
+def tree_schedule(spark: SparkSession, d: str) -> DataFrame:
+    return _tree_plan(spark, d)[2]
+
+
+@query(_NONE)
+def tree_schedule_violations(spark: SparkSession, d: str) -> DataFrame:
+    up, v, s = _tree_plan(spark, d)
+    return schedule.violations(s, up, v)
+
+
+def _block_plan(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    e, v = _graph(spark, d)
+    g = cut(grouping.supernodes(e, v))
+    q = cut(grouping.group_edges(e, g))
+    members = g.select("graph_id", F.col("group").alias("node")).distinct()
+    cost = schedule.group_costs(_costs(spark, d), g)
+    return e, v, g, cut(schedule.coarsened(q, cut(levels.level_sets(q, members)), cost, bins=6, first=4, every=5))
+
+
+@query()
+def block_schedule(spark: SparkSession, d: str) -> DataFrame:
+    """Load-balanced coarsening of supernodes."""
+    return _block_plan(spark, d)[3]
+
+
+@query(_NONE)
+def block_schedule_violations(spark: SparkSession, d: str) -> DataFrame:
+    e, v, g, s = _block_plan(spark, d)
+    return schedule.violations(schedule.ungrouped(s, g), e, v)
+
+
+@query("""WITH r AS (SELECT fname, t_serial AS t FROM (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY ingest_ts DESC) AS rn FROM metrics) WHERE rn = 1 AND t_serial IS NOT NULL AND NOT isnan(t_serial)), o AS (SELECT *, row_number() OVER (PARTITION BY fname ORDER BY t) - 1 AS k, count(*) OVER (PARTITION BY fname) AS n FROM r) SELECT fname, t AS middle, n AS runs FROM o WHERE k = n // 2""")
+def middle_times(spark: SparkSession, d: str) -> DataFrame:
+    from levelweave.functions.quantiles import latest
+
+    runs = latest(table(spark, d, "metrics").select("record_id", "fname", "t_serial", "ingest_ts"), "record_id", "ingest_ts")
+    return metrics.middle(runs, ["fname"], "t_serial")

@@ -144,7 +144,7 @@ def test_schedules_are_valid_and_mutations_are_found(spark, seed):
     ed, vd = spark.createDataFrame(e, E), spark.createDataFrame(v, V)
     cost = spark.createDataFrame([(1, k, float(1 + k % 5)) for _, k in v], "graph_id long, node long, cost double")
     lev = levels.level_sets(ed, vd)
-    for s in (schedule.lbc(ed, lev, cost, bins=3, first=2, every=2), schedule.hdagg(ed, lev, cost, cores=3), schedule.hdagg(ed, lev, cost, cores=3, max_graph_rows=10)):
+    for s in (schedule.coarsened(ed, lev, cost, bins=3, first=2, every=2), schedule.hybrid(ed, lev, cost, cores=3), schedule.hybrid(ed, lev, cost, cores=3, max_graph_rows=10)):
         s = s.cache()
         assert schedule.violations(s, ed, vd).count() == 0
         assert s.agg(F.max("part")).first()[0] < 3
