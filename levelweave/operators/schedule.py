@@ -199,6 +199,34 @@ def _divergence(loads: list[float], cores: int) -> float:
     return sum(x / total * math.log2(x / total * cores) for x in loads[:cores])
 
 
+class _Window:
+    """Components of the levels of a window and their costs, as levels are added."""
+
+    def __init__(self, into: list[list[int]], cost: list[float], begin: int):
+        self.into, self.cost, self.begin = into, cost, begin
+        self.up: dict[int, int] = {}
+        self.sums: dict[int, float] = {}
+
+    def find(self, v: int) -> int:
+        up = self.up
+        while up[v] != v:
+            up[v] = v = up[up[v]]
+        return v
+
+    def take(self, nodes: range) -> None:
+        for v in nodes:
+            self.up[v], self.sums[v] = v, self.cost[v]
+            for u in self.into[v]:
+                if u >= self.begin:
+                    a, b = sorted((self.find(u), self.find(v)))
+                    if a != b:
+                        self.up[b] = a
+                        self.sums[a] += self.sums.pop(b)
+
+    def costs(self) -> list[float]:
+        return [self.sums[k] for k in sorted(self.sums)]
+
+
 def merge_windows(pdf: pd.DataFrame, cores: int) -> pd.DataFrame:
     """Windows and parts of one graph: a window takes on the next level while its divergence, summed over the tries, stays small."""
     own = pdf[pdf["src"].isna()].sort_values(["level", "node"])
@@ -216,42 +244,26 @@ def merge_windows(pdf: pd.DataFrame, cores: int) -> pd.DataFrame:
     window, part = [0] * len(node), [0] * len(node)
     lb, w, height = 0, 0, len(first) - 1
     while lb < height:
-        up: dict[int, int] = {}
-
-        def find(v: int) -> int:
-            while up[v] != v:
-                up[v] = up[up[v]]
-                v = up[v]
-            return v
-
-        ub, drift, taken, eff = lb, 0.0, None, cores
+        grown = _Window(into, cost, first[lb])
+        ub, drift, accepted, eff = lb, 0.0, lb + 1, cores
         while ub < height:
             width = first[ub + 1] - first[ub]
             if ub == lb and width < cores:
                 eff = width
             elif width > eff:
                 eff = cores
-            for v in range(first[ub], first[ub + 1]):
-                up[v] = v
-                for u in into[v]:
-                    if u >= first[lb]:
-                        a, b = find(u), find(v)
-                        up[max(a, b)] = min(a, b)
-            sums: dict[int, float] = {}
-            for v in range(first[lb], first[ub + 1]):
-                r = find(v)
-                sums[r] = sums.get(r, 0.0) + cost[v]
-            to, loads = _chunks(list(sums.values()), cores)
-            drift += _divergence(loads, eff)
-            if taken is None or drift < BALANCED:
-                core = dict(zip(sums, to))
-                taken = ub + 1, {v: core[find(v)] for v in range(first[lb], first[ub + 1])}
+            grown.take(range(first[ub], first[ub + 1]))
+            drift += _divergence(_chunks(grown.costs(), cores)[1], eff)
             if drift >= BALANCED:
                 break
             ub += 1
-        for v, p in taken[1].items():
-            window[v], part[v] = w, p
-        lb, w = taken[0], w + 1
+            accepted = ub
+        final = _Window(into, cost, first[lb])
+        final.take(range(first[lb], first[accepted]))
+        core = dict(zip(sorted(final.sums), _chunks(final.costs(), cores)[0]))
+        for v in range(first[lb], first[accepted]):
+            window[v], part[v] = w, core[final.find(v)]
+        lb, w = accepted, w + 1
     return pd.DataFrame({"graph_id": int(pdf["graph_id"].iloc[0]), "level": window, "part": part, "node_level": level, "node": node})
 
 
