@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from levelweave.plans.skew import skew_join
 from levelweave.plans.storage import Cut, cut
 
-MAX_TASK_ROWS = 1_000_000
+MAX_TASK_ROWS = 400_000
 
 
 def _bounds(rows: DataFrame, max_task_rows: int) -> tuple[DataFrame, int, int]:
