@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 
 from levelweave.operators.cells import components
 from levelweave.operators.levels import histogram
+from levelweave.plans.storage import cut
 
 #: Divergence below which a window of levels still counts as balanced.
 BALANCED = 0.003
@@ -275,10 +276,12 @@ def hybrid(edges: DataFrame, levels: DataFrame, costs: DataFrame, cores: int = 8
     """
     own = levels.join(costs, ["graph_id", "node"], "left").select("graph_id", "node", "level", F.coalesce("cost", F.lit(1.0)).alias("cost"), F.lit(None).cast("long").alias("src"))
     into = edges.select("graph_id", F.col("dst").alias("node"), F.lit(0).alias("level"), F.lit(0.0).alias("cost"), "src")
-    rows = own.unionByName(into)
+    rows = cut(own.unionByName(into))
     large = rows.groupBy("graph_id").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > max_graph_rows).select("graph_id")  # at most rows / max_graph_rows
     schema = "graph_id long, level int, part int, node_level int, node long"
     walked = rows.join(F.broadcast(large), "graph_id", "left_anti").groupBy("graph_id").applyInPandas(lambda pdf: merge_windows(pdf, cores), schema)
+    if large.isEmpty():
+        return walked
     return walked.unionByName(coarsened(edges.join(F.broadcast(large), "graph_id", "left_semi"), levels.join(F.broadcast(large), "graph_id", "left_semi"), costs, cores))
 
 
