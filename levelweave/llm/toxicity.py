@@ -82,6 +82,9 @@ def canonical(word: str) -> str:
 class Words:
     """Ids of canonical words, with spread-out, masked and joined words resolved against the vocabulary."""
 
+    #: Tokens kept in the cache before it is emptied.
+    MOST = 500_000
+
     def __init__(self, vocabulary: list[str]):
         letters = list("abcdefghijklmnopqrstuvwxyz")
         self.names = [OTHER, NUMBER, END, *letters, *sorted(set(vocabulary) - {OTHER, NUMBER, *letters, *_ENDS})]
@@ -91,6 +94,9 @@ class Words:
             if len(w) >= 5:
                 for k in range(1, len(w)):
                     self.holes.setdefault(w[:k] + "*" + w[k + 1 :], w)
+        self._forget()
+
+    def _forget(self) -> None:
         self.cache: dict[str, int] = dict.fromkeys(_ENDS, 2)
         self.several: list[tuple[int, ...]] = [()]
 
@@ -112,15 +118,13 @@ class Words:
         else:
             code = -len(self.several)  # words of several ids are kept aside
             self.several.append(ids)
-        if len(self.cache) < 500_000:
-            self.cache[word] = code
-        elif code < 0:
-            self.several.pop()
-            code = next((i for i in ids if i > 1), 0)
+        self.cache[word] = code
         return code
 
     def encode(self, tokens: list[str]) -> np.ndarray:
         """Ids of tokens; passages end with the id of END. Four letters or more in a row make a word."""
+        if len(self.cache) >= self.MOST:  # between texts, so that no word of one is read otherwise
+            self._forget()
         ids = list(map(self.cache.get, tokens))
         if None in ids:
             ids = [self._new(t) if i is None else i for t, i in zip(tokens, ids)]

@@ -140,3 +140,12 @@ def test_passage_scores_against_all_runs():
             best.append(diff[i : j + 1].sum() / (max(j - i + 1, 3) + 4))
         assert s == pytest.approx(max(best))
         begin = e + 1
+
+
+def test_words_past_the_cache_are_whole():
+    words = Words(["grobnik", "stupid", "you", "are"])
+    fresh = words.encode(["youAreGrobnik", "stupidGrobnik"]).tolist()
+    words = Words(["grobnik", "stupid", "you", "are"])
+    words.encode([f"w{i}" for i in range(500_000)])
+    assert words.encode(["youAreGrobnik", "stupidGrobnik"]).tolist() == fresh
+    assert len(words.cache) < 500_000
