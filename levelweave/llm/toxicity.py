@@ -220,10 +220,10 @@ class Model:
 
 
 def passage_scores(ids: np.ndarray, diff: np.ndarray, least: int = 3, pad: float = 4.0) -> tuple[np.ndarray, np.ndarray]:
-    """Per passage (words up to an END): where it ends, and its score.
+    """Per passage (words up to an END): where it ends, and a lower bound of its score.
 
-    The score is the greatest sum of differences over a run of words, divided by the
-    run's length plus ``pad``; runs of fewer than ``least`` words count as that long.
+    For every last word the run of greatest sum is taken, and its sum divided by the run's
+    length plus ``pad``; runs of fewer than ``least`` words count as that long. ``run_scores`` starts from it.
     """
     ends = np.flatnonzero(ids == 2)
     if not len(ends):
@@ -245,6 +245,44 @@ def passage_scores(ids: np.ndarray, diff: np.ndarray, least: int = 3, pad: float
     return ends, np.maximum.reduceat(value, starts)
 
 
+def run_scores(ids: np.ndarray, diff: np.ndarray, least: int = 3, pad: float = 4.0) -> tuple[np.ndarray, np.ndarray]:
+    """Per passage (words up to an END): where it ends, and its score.
+
+    The score is the greatest of all runs of words: their sum of differences divided by their
+    length plus ``pad``; runs of fewer than ``least`` words count as that long. Exact, by Dinkelbach's
+    rounds: a run beats a score t if its sum of (difference - t) exceeds t * pad.
+    """
+    ends, best = passage_scores(ids, diff, least, pad)
+    if not len(ends):
+        return ends, best
+    sizes = np.diff(ends, prepend=-1)
+    used, n = diff[: ends[-1] + 1], np.repeat(np.arange(len(ends)), sizes)
+    total = np.concatenate([[0.0], np.cumsum(used)])
+    for k in range(1, min(least, len(used) + 1)):
+        inside = n[k - 1 :] == n[: len(n) - k + 1]
+        np.maximum.at(best, n[k - 1 :][inside], (total[k:] - total[:-k])[inside] / (least + pad))
+    live = np.flatnonzero(sizes >= least)
+    while len(live):
+        held = np.zeros(len(ends), bool)
+        held[live] = True
+        d, m = used[held[n]], np.repeat(np.arange(len(live)), sizes[live])
+        starts = np.concatenate([[0], np.cumsum(sizes[live])[:-1]])
+        gain = np.concatenate([[0.0], np.cumsum(d - best[live][m])])
+        span = gain[:-1] - gain[starts][m]
+        shifted = span - m * (np.abs(span).max() * 2 + 1.0)
+        low_pos = np.maximum.accumulate(np.where(shifted == np.minimum.accumulate(shifted), np.arange(len(d)), 0))
+        last = np.arange(least - 1, len(d))
+        first = low_pos[: len(last)]  # of the least sum before a run that is long enough
+        whole = np.concatenate([[0.0], np.cumsum(d)])
+        value = np.full(len(d), -np.inf)
+        value[last] = np.where(m[last] == m[: len(last)], (whole[last + 1] - whole[first]) / (last - first + 1 + pad), -np.inf)
+        reached = np.maximum.reduceat(value, starts)
+        better = reached > best[live] + 1e-9
+        best[live] = np.maximum(best[live], reached)
+        live = live[better]
+    return ends, best
+
+
 class Fit:
     """What a task needs to score texts: words, model and the threshold of a case."""
 
@@ -256,7 +294,7 @@ class Fit:
         ids = [self.words.encode(t) for t in tokens]
         sizes = np.array([len(i) for i in ids])
         flat = np.concatenate(ids) if ids else np.zeros(0, np.int64)
-        ends, scores = passage_scores(flat, self.model.differences(flat))
+        ends, scores = run_scores(flat, self.model.differences(flat))
         return flat, ends, scores, np.searchsorted(np.cumsum(sizes), ends, side="right")
 
 
@@ -335,7 +373,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample: int = 40_000, rounds: int
                         mine = np.full(len(ids), toxic)
                         keep = np.ones(len(ids), bool)
                     else:
-                        ends, scores = passage_scores(ids, fitted.model.differences(ids))
+                        ends, scores = run_scores(ids, fitted.model.differences(ids))
                         high = np.repeat(scores > select, np.diff(ends, prepend=-1))
                         mine, keep = high, high == toxic  # what contradicts the mark is in neither class
                     for k in (True, False):

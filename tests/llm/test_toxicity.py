@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from levelweave.llm.toxicity import Model, Words, canonical, fit, grams, passage_scores, rates, raw_tokens, score
+from levelweave.llm.toxicity import Model, Words, canonical, fit, grams, passage_scores, rates, raw_tokens, run_scores, score
 
 NAMES = [a + b + c for a in ("mer", "tal", "vin", "sko") for b in ("ba", "lu", "ki", "ro") for c in ("dor", "nek", "sta")]
 SLURS = ["grobnik", "flamsel", "dworpit", "snarlup", "quobbert"]
@@ -149,3 +149,23 @@ def test_words_past_the_cache_are_whole():
     words.encode([f"w{i}" for i in range(500_000)])
     assert words.encode(["youAreGrobnik", "stupidGrobnik"]).tolist() == fresh
     assert len(words.cache) < 500_000
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_run_scores_against_all_starts_and_ends(seed):
+    rnd = np.random.default_rng(seed)
+    ids = rnd.choice([2, 5, 6, 7], 300, p=[0.05, 0.3, 0.3, 0.35])
+    ids[-2:] = 2
+    diff = rnd.normal(loc=rnd.choice([-1.0, 0.0, 1.0]), scale=3, size=300)
+    ends, got = run_scores(ids, diff, least=3, pad=4.0)
+    begin = 0
+    for e, s in zip(ends, got):
+        assert s == pytest.approx(max(diff[i : j + 1].sum() / (max(j - i + 1, 3) + 4) for j in range(begin, e + 1) for i in range(begin, j + 1)), abs=1e-6)
+        begin = e + 1
+
+
+def test_short_run_after_mild_words():
+    diff = np.array([0.8] * 10 + [6.0] * 6 + [-9.0])
+    ids = np.array([5] * 16 + [2])
+    assert passage_scores(ids, diff)[1][0] == pytest.approx(2.2)
+    assert run_scores(ids, diff)[1][0] == pytest.approx(3.6)
