@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from levelweave.functions.quantiles import latest, percentiles, value_counts
 from levelweave.operators.columns import column_results, matrix_results
-from levelweave.operators.hierarchy import descendant_counts, hierarchy
+from levelweave.operators.hierarchy import descendant_counts, descendants, hierarchy
 from levelweave.sources.triplets import parse_triplets, rejected_lines, valid_triplets
 from levelweave.tables import table
 
@@ -28,6 +28,12 @@ def p1_descendants(spark: SparkSession, d: str) -> DataFrame:
     return descendant_counts(hierarchy(table(spark, d, "tree")).filter(F.col("fault").isNull()))
 
 
+def p1_descendant_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The descendants themselves, a row for every node below another."""
+    pairs = descendants(hierarchy(table(spark, d, "tree")).filter(F.col("fault").isNull()))
+    return pairs.withColumn("distance", F.col("distance").cast("long"))
+
+
 def _parsed(spark: SparkSession, d: str) -> DataFrame:
     return parse_triplets(table(spark, d, "triplet_raw"), table(spark, d, "graphs"))
 
@@ -65,7 +71,7 @@ def p4_matrices(spark: SparkSession, d: str) -> DataFrame:
     return matrix_results(columns, table(spark, d, "csc"), table(spark, d, "graphs")).withColumn("sum_val", F.round("sum_val", 4))
 
 
-QUERIES = {q.__name__: q for q in (p1_found, p1_paths, p1_descendants, p2_found, p2_valid, p3_percentiles, p3_months, p4_columns, p4_matrices)}
+QUERIES = {q.__name__: q for q in (p1_found, p1_paths, p1_descendants, p1_descendant_rows, p2_found, p2_valid, p3_percentiles, p3_months, p4_columns, p4_matrices)}
 
 _TREE = "t AS (SELECT DISTINCT graph_id, node, CASE WHEN parent = -1 THEN NULL ELSE parent END AS parent FROM tree)"
 _DOWN = f"""WITH RECURSIVE {_TREE},
@@ -105,6 +111,10 @@ SQL = {
  r AS (SELECT graph_id, node FROM t WHERE parent IS NULL UNION ALL SELECT t.graph_id, t.node FROM r JOIN t ON t.graph_id = r.graph_id AND t.parent = r.node),
  a AS (SELECT r.graph_id, r.node, r.node AS anc, CAST(0 AS BIGINT) AS dist FROM r UNION ALL SELECT a.graph_id, a.node, t.parent, dist + 1 FROM a JOIN t ON t.graph_id = a.graph_id AND t.node = a.anc WHERE t.parent IS NOT NULL)
  SELECT graph_id, anc AS node, count(*) - 1 AS descendants, max(dist) AS height FROM a GROUP BY 1, 2""",
+    "p1_descendant_rows": f"""WITH RECURSIVE {_TREE},
+ r AS (SELECT graph_id, node FROM t WHERE parent IS NULL UNION ALL SELECT t.graph_id, t.node FROM r JOIN t ON t.graph_id = r.graph_id AND t.parent = r.node),
+ a AS (SELECT r.graph_id, r.node, r.node AS anc, CAST(0 AS BIGINT) AS dist FROM r UNION ALL SELECT a.graph_id, a.node, t.parent, dist + 1 FROM a JOIN t ON t.graph_id = a.graph_id AND t.node = a.anc WHERE t.parent IS NOT NULL)
+ SELECT graph_id, anc AS ancestor, node AS descendant, dist AS distance FROM a WHERE dist > 0""",
     "p2_found": _LINE + " SELECT line_id, CASE WHEN NOT coalesce(quoted, true) THEN 'quoting' WHEN NOT coalesce(counted, false) THEN 'columns' ELSE 'value' END AS reason FROM v WHERE NOT coalesce(good AND counted, false)",
     "p2_valid": _LINE + ' SELECT line_id, graph_id, line_no, CAST(f[1] AS BIGINT) AS "row", CAST(f[2] AS BIGINT) AS col, CASE WHEN len(f) = 2 THEN 1.0 ELSE CAST(f[3] AS DOUBLE) END AS val FROM v WHERE good AND counted',
     "p3_percentiles": _percentile_sql("fname", PERMILLE),

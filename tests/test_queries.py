@@ -36,3 +36,10 @@ def test_query(spark, con, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_descendant_rows_agree_with_counts(spark):
+    queries = entry.queries()
+    rows = queries["p1_descendant_rows"](spark, FOLDER).groupBy("graph_id", "ancestor").count().collect()
+    counts = queries["p1_descendants"](spark, FOLDER).filter("descendants > 0").collect()
+    assert {(r["graph_id"], r["ancestor"], r["count"]) for r in rows} == {(r["graph_id"], r["node"], r["descendants"]) for r in counts}
