@@ -81,7 +81,7 @@ _LINE = r"""WITH g AS (SELECT graph_id, max(n) AS n, max(CASE WHEN field = 'patt
  a AS (SELECT line_id, l.graph_id, line_no, line, n, coalesce(pat, 0) AS pat FROM triplet_raw l LEFT JOIN g ON g.graph_id = l.graph_id WHERE line IS NULL OR NOT starts_with(line, '%')),
  q AS (SELECT *, regexp_full_match(line, '[ \t]*("([^"]|"")*"[ \t]*|[^",]*)(,[ \t]*("([^"]|"")*"[ \t]*|[^",]*))*', 's') AS quoted FROM a),
  f AS (SELECT *, CASE WHEN quoted THEN list_transform(regexp_extract_all(',' || line, ',[ \t]*("([^"]|"")*"[ \t]*|[^",]*)', 1, 's'), lambda x: trim(CASE WHEN starts_with(x, '"') THEN replace(substring(trim(x, ' ' || chr(9)), 2, length(trim(x, ' ' || chr(9))) - 2), '""', '"') ELSE x END, ' ' || chr(9))) END AS f FROM q),
- c AS (SELECT *, quoted AND (len(f) = 3 OR len(f) = 2 AND pat = 1) AS counted FROM f),
+ c AS (SELECT *, quoted AND len(f) = 3 - pat AS counted FROM f),
  v AS (SELECT *, regexp_full_match(f[1], '[0-9]+') AND regexp_full_match(f[2], '[0-9]+') AND TRY_CAST(f[1] AS HUGEINT) BETWEEN 1 AND n AND TRY_CAST(f[2] AS HUGEINT) BETWEEN 1 AND n
    AND (len(f) = 2 OR regexp_full_match(f[3], '[+-]?[0-9]+([.][0-9]+)?([eE][+-]?[0-9]+)?') AND coalesce(isfinite(TRY_CAST(f[3] AS DOUBLE)), false)) AS good FROM c)"""
 

@@ -46,8 +46,8 @@ def read_mtx(spark: SparkSession, path: str, graph_id: int, check: bool = True)
     size = f"{h['m']} {h['n']} {h['nnz']}"
     first = text.filter(F.regexp_replace(F.trim("value"), r"\s+", " ") == size).agg(F.min("at").alias("first"))
     lines = text.join(F.broadcast(first), F.col("at") > F.col("first")).select(F.col("at").alias("line_id"), F.lit(graph_id).cast("long").alias("graph_id"), F.lit(0).alias("line_no"), F.regexp_replace(F.trim("value"), r"\s+", ",").alias("line"))
-    graphs = spark.createDataFrame([(graph_id, max(int(h["m"]), int(h["n"])), h["field"])], "graph_id long, n long, field string")
-    parsed = parse_triplets(lines, graphs)
+    graphs = spark.createDataFrame([(graph_id, int(h["m"]), int(h["n"]), h["field"])], "graph_id long, m long, n long, field string")
+    parsed = parse_triplets(lines, graphs, row_bound="m")
     if check:
         good, bad = parsed.agg(F.count(F.when(F.col("reason").isNull(), 1)), F.count("reason")).first()
         if bad or good != h["nnz"]:

@@ -51,44 +51,52 @@ def _index(text: Column) -> Column:
 
 
 def invalid_values(split: DataFrame) -> DataFrame:
-    """(kind, text, detail) of the distinct index and val texts that no row may hold; each is cast once."""
-    index = lambda c: F.struct(F.lit("index").alias("kind"), F.col(c).alias("text"))
-    val = F.struct(F.lit("val").alias("kind"), F.col("val_text").alias("text"))
-    texts = split.select(F.explode(F.array(index("row_text"), index("col_text"), val)).alias("v")).select("v.*").filter(F.col("text").isNotNull()).distinct()
+    """(kind, graph_id, text, detail, uses): the dictionary of texts that no field of that kind may hold.
+
+    Every distinct row and col text of a graph and every distinct val text is cast once, after the
+    fields were brought together: ``detail`` hangs on the count of its ``uses``, so no optimiser can move the cast below.
+    """
+    own = [F.struct(F.lit(k).alias("kind"), F.col("graph_id"), F.col(f"{k}_text").alias("text"), F.col(f"{k}_most").alias("most")) for k in ("row", "col")]
+    val = F.struct(F.lit("val").alias("kind"), F.lit(None).cast("long").alias("graph_id"), F.col("val_text").alias("text"), F.lit(None).cast("long").alias("most"))
+    texts = split.select(F.explode(F.array(*own, val)).alias("v")).select("v.*").filter(F.col("text").isNotNull()).groupBy("kind", "graph_id", "text", "most").agg(F.count(F.lit(1)).alias("uses"))
     number, real = _index(F.col("text")), F.col("text").try_cast("double")
-    of_index = F.when(~F.col("text").rlike(_INDEX), "not_digits").when(number.isNull(), "too_large").when(number < 1, "below_one")
+    of_index = F.when(~F.col("text").rlike(_INDEX), "not_digits").when(number.isNull(), "too_large").when(number < 1, "below_one").when(~F.coalesce(number <= F.col("most"), F.lit(False)), "above_n")
     of_val = F.when(~F.col("text").rlike(_DECIMAL), "not_decimal").when(real.isNull() | (F.abs(real) == float("inf")), "not_finite")
-    return texts.withColumn("detail", F.when(F.col("kind") == "index", of_index).otherwise(of_val)).filter(F.col("detail").isNotNull())
+    detail = F.when(F.col("uses") > 0, F.when(F.col("kind") == "val", of_val).otherwise(of_index))
+    return texts.select("kind", "graph_id", "text", detail.alias("detail"), "uses").filter(F.col("detail").isNotNull())
 
 
-def parse_triplets(lines: DataFrame, graphs: DataFrame) -> DataFrame:
+def parse_triplets(lines: DataFrame, graphs: DataFrame, row_bound: str = "n") -> DataFrame:
     """Every line that is no comment, as a typed triplet or with the reason it fails.
 
-    Columns: ``line_id, graph_id, line_no, line``, ``row, col`` (1-based), ``val`` (1.0 where a
-    pattern file gives none), ``reason`` (null if valid; else the first of ``quoting``,
-    ``columns``, ``value``) and ``detail``. A line that is null has no fields: ``columns``.
-    An empty line has one. A graph that ``graphs`` doesn't list allows no index: ``value``, ``above_n``.
+    Columns: ``line_id, graph_id, line_no, line``, ``row, col`` (1-based), ``val`` (1.0 in a
+    pattern file), ``reason`` (null if valid; else the first of ``quoting``, ``columns``, ``value``) and ``detail``.
+    A pattern file has two fields, any other three. A line that is null has no fields: ``columns``.
+    An empty line has one. ``n`` of ``graphs`` bounds col, its column ``row_bound`` bounds row.
+    A graph that ``graphs`` doesn't list allows no index: ``value``, ``above_n``.
     Repeated lines are judged each by itself; other columns of both tables are ignored.
     """
-    spec = graphs.groupBy("graph_id").agg(F.max("n").alias("n"), F.max(F.when(F.col("field") == "pattern", True).otherwise(False)).alias("is_pattern"))
+    spec = graphs.groupBy("graph_id").agg(F.max("n").alias("col_most"), F.max(row_bound).alias("row_most"), F.max(F.when(F.col("field") == "pattern", True).otherwise(False)).alias("is_pattern"))
     raw = lines.select("line_id", "graph_id", "line_no", "line").filter(F.col("line").isNull() | ~F.col("line").startswith("%"))
     known = skew_join(raw, spec, ["graph_id"], "left")
     f = F.when(F.col("quoted_ok"), fields_of(F.col("line")))
-    count = F.size("f")
-    split = known.withColumn("quoted_ok", F.coalesce(quoting_ok(F.col("line")), F.lit(True))).withColumn("f", f).withColumn("count_ok", F.coalesce((count == 3) | ((count == 2) & F.coalesce("is_pattern", F.lit(False))), F.lit(False)))
+    wanted = F.when(F.coalesce("is_pattern", F.lit(False)), 2).otherwise(3)
+    split = known.withColumn("quoted_ok", F.coalesce(quoting_ok(F.col("line")), F.lit(True))).withColumn("f", f).withColumn("count_ok", F.coalesce(F.size("f") == wanted, F.lit(False)))
     get = lambda i: F.when(F.col("count_ok"), F.get("f", F.lit(i)))
-    split = split.select("line_id", "graph_id", "line_no", "line", "n", "quoted_ok", "count_ok", get(0).alias("row_text"), get(1).alias("col_text"), get(2).alias("val_text"))
+    split = split.select("line_id", "graph_id", "line_no", "line", "row_most", "col_most", "quoted_ok", "count_ok", get(0).alias("row_text"), get(1).alias("col_text"), get(2).alias("val_text"))
     bad = cut(invalid_values(split))
-    for column, kind in (("row", "index"), ("col", "index"), ("val", "val")):
-        own = bad.filter(F.col("kind") == kind).select(F.col("text").alias(f"{column}_text"), F.col("detail").alias(f"{column}_bad"))
-        split = skew_join(split, own, [f"{column}_text"], "left")
-    row, col = _index(F.col("row_text")), _index(F.col("col_text"))
-    above = ~F.coalesce((row <= F.col("n")) & (col <= F.col("n")), F.lit(False))
-    value = F.coalesce("row_bad", "col_bad", "val_bad", F.when(above, "above_n"))
+    for kind in ("row", "col", "val"):
+        keys = [F.col("text").alias(f"{kind}_text"), F.col("detail").alias(f"{kind}_bad")]
+        of = bad.filter(F.col("kind") == kind)
+        if kind == "val":
+            split = skew_join(split, of.select(*keys), ["val_text"], "left")
+        else:  # a null graph is a graph like any other
+            split = skew_join(split.withColumn("_g", F.coalesce("graph_id", F.lit(-(2**63)))), of.select(F.coalesce("graph_id", F.lit(-(2**63))).alias("_g"), *keys), ["_g", f"{kind}_text"], "left").drop("_g")
+    value = F.coalesce("row_bad", "col_bad", "val_bad")
     reason = F.when(~F.col("quoted_ok"), "quoting").when(~F.col("count_ok"), "columns").when(value.isNotNull(), "value")
     valid = reason.isNull()
     return split.select(
-        "line_id", "graph_id", "line_no", "line", F.when(valid, row).alias("row"), F.when(valid, col).alias("col"),
+        "line_id", "graph_id", "line_no", "line", F.when(valid, _index(F.col("row_text"))).alias("row"), F.when(valid, _index(F.col("col_text"))).alias("col"),
         F.when(valid, F.coalesce(F.col("val_text").try_cast("double"), F.lit(1.0))).alias("val"), reason.alias("reason"),
         F.when(reason == "value", value).when(reason == "columns", F.lit("wrong_count")).when(reason == "quoting", F.lit("broken_quotes")).alias("detail"),
     )

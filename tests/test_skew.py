@@ -49,7 +49,7 @@ def test_join_is_the_join(spark, how, limit):
     if how in ("inner", "left"):
         right = right.dropDuplicates(["k"]) if limit == 0 else right
     want = sorted(map(tuple, left.join(right, ["k"], how).collect()), key=repr)
-    got = sorted(map(tuple, skew_join(left, right, ["k"], how, share=0.1, rows=limit, salts=4).collect()), key=repr)
+    got = sorted(map(tuple, skew_join(left, right, ["k"], how, share=0.1, rows=limit, rows_per_salt=40).collect()), key=repr)
     assert got == want
 
 

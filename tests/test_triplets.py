@@ -3,7 +3,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from levelweave.sources.triplets import parse_triplets, rejected_lines, valid_triplets
+from levelweave.sources.triplets import invalid_values, parse_triplets, rejected_lines, valid_triplets
 
 LINES = "line_id long, graph_id long, line_no int, line string"
 GRAPHS = [(1, 100, "real"), (2, 50, "pattern"), (3, None, "real")]
@@ -17,7 +17,7 @@ def judge(spark, pairs):
 
 CASES = [
     (1, "1,2,3.5", None), (1, " 1 , 2 , 3.5 ", None), (1, '"1","2","3.5"', None), (1, '" 1 ",2,\t3', None), (1, "007,2,+1e3", None), (1, "1,2,-0.5E-2", None),
-    (1, "1,2", "columns"), (2, "1,2", None), (2, "1,2,9", None), (1, "1,2,3,4", "columns"), (1, "", "columns"), (1, None, "columns"), (1, "1 2 3", "columns"), (1, "1;2;3", "columns"),
+    (1, "1,2", "columns"), (2, "1,2", None), (2, "1,2,9", "columns"), (2, "1,2,", "columns"), (2, ",1,2", "columns"), (1, "1,2,3,4", "columns"), (1, "", "columns"), (1, None, "columns"), (1, "1 2 3", "columns"), (1, "1;2;3", "columns"),
     (1, '"1,2,3', "quoting"), (1, '1,2"2,3', "quoting"), (1, '1,"2"2,3', "quoting"), (1, '"1""",2,3', "value"), (1, '"1,2",3', "columns"), (2, '"1,2",3', "value"), (1, '"1" "2",3,4', "quoting"), (1, '1,2,""', "value"),
     (1, "0,1,1", "value"), (1, "101,1,1", "value"), (1, "1,101,1", "value"), (2, "51,1", "value"), (1, "1.0,1,1", "value"), (1, "1,2,nan", "value"), (1, "1,2,1e999", "value"), (1, "1,2,.5", "value"), (1, "1,2,5.", "value"),
     (1, "1,2,0x1p3", "value"), (1, "１,2,3", "value"), (1, "1,2,−3", "value"), (1, "1,2,", "value"), (1, ",,", "value"), (1, "99999999999999999999999999,1,1", "value"), (1, "-1,1,1", "value"), (1, "1,2,1_0", "value"),
@@ -44,9 +44,9 @@ def test_long_lines(spark):
 
 def test_repeats_extra_columns_and_empty_tables(spark):
     lines = spark.createDataFrame([(1, 1, 1, "1,1,1"), (1, 1, 1, "1,1,1"), (2, 1, 2, "x")], LINES)
-    for name in ("n", "field", "f", "row", "col", "val", "reason", "detail", "quoted_ok", "is_pattern", "row_text", "row_bad", "kind", "text"):
+    for name in ("n", "field", "f", "row", "col", "val", "reason", "detail", "quoted_ok", "is_pattern", "row_text", "row_bad", "kind", "text", "uses", "row_most", "_g"):
         lines = lines.withColumn(name, F.lit("z"))
-    graphs = spark.createDataFrame([(1, 9, "real"), (1, 5, "real")], "graph_id long, n long, field string").withColumn("line", F.lit("q"))
+    graphs = spark.createDataFrame([(1, 9, "real"), (1, 5, "real")], "graph_id long, n long, field string").withColumn("line", F.lit("q")).withColumn("m", F.lit("z"))
     parsed = parse_triplets(lines, graphs)
     assert valid_triplets(parsed).count() == 2 and rejected_lines(parsed).count() == 1
     empty = spark.createDataFrame([], LINES)
@@ -86,7 +86,7 @@ def reference(line, pattern, n):
         i += 1
     if quoted_error:
         return "quoting"
-    if not (len(fields) == 3 or (pattern and len(fields) == 2)):
+    if len(fields) != (2 if pattern else 3):
         return "columns"
     good = all(f.isascii() and f.isdigit() and 1 <= int(f) <= n for f in fields[:2])
     return None if good and (len(fields) == 2 or fields[2].isdigit()) else "value"
@@ -111,3 +111,15 @@ def test_rows_of_the_csv_module(spark):
     csv.writer(sink, lineterminator="").writerows(rows)
     got = judge(spark, [(1, t) for t in sink])
     assert {r["reason"] for r in got.values()} <= {None, "value"}
+
+
+def test_two_bounds_and_one_cast_a_text(spark):
+    lines = spark.createDataFrame([(1, 1, 1, "3,2"), (2, 1, 2, "3,3"), (3, 1, 3, "4,1"), (4, None, 4, "1,1")], LINES)
+    graphs = spark.createDataFrame([(1, 3, 2, "pattern")], "graph_id long, m long, n long, field string")
+    parsed = parse_triplets(lines, graphs, row_bound="m")
+    assert {r["line_id"]: r["detail"] for r in parsed.collect()} == {1: None, 2: "above_n", 3: "above_n", 4: "wrong_count"}
+    split = spark.createDataFrame([(1, 5, 5, "1", "2", "x")] * 9, "graph_id long, row_most long, col_most long, row_text string, col_text string, val_text string")
+    bad = invalid_values(split)
+    assert [tuple(r) for r in bad.collect()] == [("val", None, "x", "not_decimal", 9)]
+    plan = bad._jdf.queryExecution().optimizedPlan().toString()
+    assert "DOUBLE" not in plan[plan.index("Aggregate") :] and "double" not in plan[plan.index("Aggregate") :]
