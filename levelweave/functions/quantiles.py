@@ -10,16 +10,14 @@ range of the values and the relative error of every percentile by ``rel_error``.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from levelweave.plans.running import sorted_sums
 from levelweave.plans.skew import skew_join
-from levelweave.plans.storage import cut
 
 
 def latest(rows: DataFrame, key: str, order: str) -> DataFrame:
@@ -46,33 +44,6 @@ def value_counts(rows: DataFrame, keys: list[str], metrics: list[str], part: Col
     return long.groupBy(*keys, "metric", "part", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _running(keys: int):
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Running sums of ``n`` within each run of equal keys of a sorted partition."""
-        before, carried = None, 0
-        for b in batches:
-            if not b.num_rows:
-                continue
-            n = b.column("n").to_numpy()
-            new = np.zeros(len(n), dtype=bool)
-            for i in range(keys):
-                codes = b.column(i).dictionary_encode(null_encoding="encode").indices.to_numpy()
-                new[1:] |= codes[1:] != codes[:-1]
-            first = tuple(b.column(i)[0].as_py() for i in range(keys))
-            starts = np.flatnonzero(new)
-            total = np.cumsum(n)
-            base = np.zeros(len(n), dtype=np.int64)
-            base[starts] = total[starts - 1]
-            base = np.maximum.accumulate(base)
-            running = total - base
-            if first == before:
-                running[: starts[0] if len(starts) else len(n)] += carried
-            before, carried = tuple(b.column(i)[-1].as_py() for i in range(keys)), int(running[-1])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(running)], names=[*b.schema.names, "running"])
-
-    return task
-
-
 def least_rank(n: Column, permille: Column) -> Column:
     """Rank, from 1, of the least value that p/1000 of n values don't exceed."""
     return F.floor((permille * n + 999) / 1000)
@@ -93,11 +64,7 @@ def percentiles(state: DataFrame, keys: list[str], permille: list[int], rank: Ca
     Null keys are a key of their own; an empty state gives no rows.
     """
     slim = state.groupBy(*keys, "value").agg(F.sum("n").cast("long").alias("n"))
-    spark = state.sparkSession
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = slim.select(*keys, "value", "n").repartitionByRange(tasks, *keys, "value").sortWithinPartitions(*keys, "value").withColumn("pid", F.spark_partition_id())
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ordered.schema.fields)
-    sums = cut(ordered.mapInArrow(_running(len(keys)), fields + ", running long"))
+    sums = sorted_sums(slim, keys, ["value"], "n")
     piece = sums.groupBy(*keys, "pid").agg(F.max("running").alias("held"))
     w = W.partitionBy(*keys)
     piece = piece.withColumn("total", F.sum("held").over(w)).withColumn("offset", F.sum("held").over(w.orderBy("pid")) - F.col("held"))

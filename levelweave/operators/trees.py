@@ -7,10 +7,12 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from levelweave.operators.cells import components
-from levelweave.operators.hierarchy import descendants
+from levelweave.operators.hierarchy import figures
+from levelweave.plans.running import running_sums
+from levelweave.plans.skew import skew_join
+from levelweave.plans.storage import cut
 
 
 def children(nodes: DataFrame) -> DataFrame:
@@ -19,26 +21,21 @@ def children(nodes: DataFrame) -> DataFrame:
 
 
 def subtree_costs(tree: DataFrame, costs: DataFrame) -> DataFrame:
-    """(graph_id, node, cost): sum of ``costs`` (graph_id, node, cost) over each subtree of a ``hierarchy`` with paths."""
-    below = descendants(tree).select("graph_id", F.col("ancestor").alias("node"), F.col("descendant").alias("of"))
-    own = tree.select("graph_id", "node", F.col("node").alias("of"))
-    c = costs.select("graph_id", F.col("node").alias("of"), "cost")
-    return below.unionByName(own).join(c, ["graph_id", "of"]).groupBy("graph_id", "node").agg(F.sum("cost").alias("cost"))
+    """(graph_id, node, cost): sum of ``costs`` (graph_id, node, cost) over each subtree of a ``hierarchy``."""
+    return figures(tree.join(costs, ["graph_id", "node"], "left"), cost="cost").select("graph_id", "node", "cost")
 
 
-def post_order(tree: DataFrame) -> DataFrame:
-    """(graph_id, node, post): place of each node in the post order, children by number, trees by root.
+def post_order(tree: DataFrame, weights: DataFrame | None = None) -> DataFrame:
+    """(graph_id, node, post): place of each node in the post order of a ``hierarchy``, trees by root.
 
-    A node comes after all nodes of earlier siblings of itself and of its ancestors, and after its own
-    subtree; with subtree sizes known these are sums along the path. ``tree`` is a ``hierarchy`` with paths.
+    Children go by number or, with ``weights`` (graph_id, node, weight), by rising weight, then number.
     """
-    sizes = subtree_costs(tree, tree.select("graph_id", "node", F.lit(1).alias("cost")))
-    placed = tree.select("graph_id", "node", "parent").join(sizes, ["graph_id", "node"])
-    siblings = W.partitionBy("graph_id", "parent").orderBy("node").rowsBetween(W.unboundedPreceding, -1)
-    before = placed.withColumn("before", F.coalesce(F.sum("cost").over(siblings), F.lit(0)))
-    up = tree.select("graph_id", "node", F.explode("path").alias("on")).join(before.select("graph_id", F.col("node").alias("on"), "before"), ["graph_id", "on"])
-    total = up.groupBy("graph_id", "node").agg(F.sum("before").alias("before"))
-    return total.join(sizes, ["graph_id", "node"]).select("graph_id", "node", (F.col("before") + F.col("cost") - 1).alias("post"))
+    ranked = tree.join(weights.select("graph_id", "node", "weight"), ["graph_id", "node"], "left") if weights is not None else tree
+    f = cut(figures(ranked, rank="weight" if weights is not None else None).withColumn("graph_id", F.coalesce("graph_id", F.lit(-(2**63)))))
+    roots = f.filter("node = root").select("graph_id", "root", (F.col("descendants") + 1).alias("size"))
+    starts = running_sums(roots, ["graph_id"], ["root"], "size").select("graph_id", "root", (F.col("running") - F.col("size")).alias("start"))
+    out = skew_join(f, starts, ["graph_id", "root"])
+    return out.select(F.when(F.col("graph_id") != -(2**63), F.col("graph_id")).alias("graph_id"), "node", (F.col("start") + F.col("place")).alias("post"))
 
 
 def relabelled(tree: DataFrame, order: DataFrame) -> DataFrame:

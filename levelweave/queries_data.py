@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from levelweave.functions.quantiles import latest, percentiles, value_counts
 from levelweave.operators.columns import column_results, matrix_results
-from levelweave.operators.hierarchy import descendant_counts, descendants, hierarchy
+from levelweave.operators.hierarchy import cycles, descendants, figures, hierarchy
 from levelweave.sources.triplets import parse_triplets, rejected_lines, valid_triplets
 from levelweave.tables import table
 
@@ -25,7 +25,7 @@ def p1_paths(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_descendants(spark: SparkSession, d: str) -> DataFrame:
-    return descendant_counts(hierarchy(table(spark, d, "tree")).filter(F.col("fault").isNull()))
+    return figures(hierarchy(table(spark, d, "tree"), paths=False)).select("graph_id", "node", "descendants", "height")
 
 
 def p1_descendant_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -34,6 +34,17 @@ def p1_descendant_rows(spark: SparkSession, d: str) -> DataFrame:
     return pairs.withColumn("distance", F.col("distance").cast("long"))
 
 
+def p1_cycles(spark: SparkSession, d: str) -> DataFrame:
+    """The links that lie on a cycle, with the cycle's least node and length."""
+    return cycles(hierarchy(table(spark, d, "tree"), paths=False))
+
+
+def p1_components(spark: SparkSession, d: str) -> DataFrame:
+    """The connected components of the links: least node, size, and how their nodes end."""
+    nodes = hierarchy(table(spark, d, "tree"), paths=False)
+    return nodes.groupBy("graph_id", "component").agg(F.count(F.lit(1)).alias("nodes"), F.count("root").alias("rooted"), F.max("depth").alias("deepest"))
+
+
 def _parsed(spark: SparkSession, d: str) -> DataFrame:
     return parse_triplets(table(spark, d, "triplet_raw"), table(spark, d, "graphs"))
 
@@ -62,6 +73,17 @@ def p3_months(spark: SparkSession, d: str) -> DataFrame:
     return percentiles(state, ["fname", "month", "metric"], [500, 900])
 
 
+def p3_bounded(spark: SparkSession, d: str) -> DataFrame:
+    """Percentiles of states in logarithmic bins, whose size the range of the values bounds, and whether each is within one per cent."""
+    records = table(spark, d, "metrics").select("record_id", "fname", "t_serial", "t_level", "run_ts", "ingest_ts")
+    runs = latest(records, "record_id", "ingest_ts")
+    keys = ["fname", "metric"]
+    near, exact = (percentiles(value_counts(runs, ["fname"], ["t_serial", "t_level"], F.to_date("run_ts"), e), keys, PERMILLE) for e in (0.01, 0.0))
+    both = near.alias("a").join(exact.alias("b"), F.col("a.fname").eqNullSafe(F.col("b.fname")) & (F.col("a.metric") == F.col("b.metric")) & (F.col("a.permille") == F.col("b.permille")))
+    within = F.abs(F.col("a.percentile") - F.col("b.percentile")) <= F.abs(F.col("b.percentile")) * 0.0100001
+    return both.select("a.fname", "a.metric", "a.permille", within.alias("within"), "a.n")
+
+
 def p4_columns(spark: SparkSession, d: str) -> DataFrame:
     return column_results(table(spark, d, "matrix"), table(spark, d, "csc")).withColumn("sum_val", F.round("sum_val", 4))
 
@@ -71,7 +93,7 @@ def p4_matrices(spark: SparkSession, d: str) -> DataFrame:
     return matrix_results(columns, table(spark, d, "csc"), table(spark, d, "graphs")).withColumn("sum_val", F.round("sum_val", 4))
 
 
-QUERIES = {q.__name__: q for q in (p1_found, p1_paths, p1_descendants, p1_descendant_rows, p2_found, p2_valid, p3_percentiles, p3_months, p4_columns, p4_matrices)}
+QUERIES = {q.__name__: q for q in (p1_found, p1_paths, p1_descendants, p1_descendant_rows, p1_cycles, p1_components, p2_found, p2_valid, p3_percentiles, p3_months, p3_bounded, p4_columns, p4_matrices)}
 
 _TREE = "t AS (SELECT DISTINCT graph_id, node, CASE WHEN parent = -1 THEN NULL ELSE parent END AS parent FROM tree)"
 _DOWN = f"""WITH RECURSIVE {_TREE},
@@ -115,10 +137,23 @@ SQL = {
  r AS (SELECT graph_id, node FROM t WHERE parent IS NULL UNION ALL SELECT t.graph_id, t.node FROM r JOIN t ON t.graph_id = r.graph_id AND t.parent = r.node),
  a AS (SELECT r.graph_id, r.node, r.node AS anc, CAST(0 AS BIGINT) AS dist FROM r UNION ALL SELECT a.graph_id, a.node, t.parent, dist + 1 FROM a JOIN t ON t.graph_id = a.graph_id AND t.node = a.anc WHERE t.parent IS NOT NULL)
  SELECT graph_id, anc AS ancestor, node AS descendant, dist AS distance FROM a WHERE dist > 0""",
+    "p1_cycles": f"""WITH RECURSIVE {_TREE},
+ a AS (SELECT graph_id, node, parent AS anc FROM t WHERE parent IS NOT NULL UNION SELECT a.graph_id, a.node, t.parent FROM a JOIN t ON t.graph_id = a.graph_id AND t.node = a.anc WHERE t.parent IS NOT NULL),
+ c AS (SELECT a.graph_id, a.node, t.parent FROM a JOIN t ON t.graph_id = a.graph_id AND t.node = a.node WHERE a.node = a.anc),
+ m AS (SELECT a.graph_id, a.node, min(a.anc) AS "cycle", count(*) AS length FROM a JOIN c ON c.graph_id = a.graph_id AND c.node = a.node GROUP BY 1, 2)
+ SELECT graph_id, "cycle", node, parent, length FROM c JOIN m USING (graph_id, node)""",
+    "p1_components": f"""WITH RECURSIVE {_TREE},
+ a AS (SELECT graph_id, node, node AS anc FROM t UNION SELECT a.graph_id, a.node, p.node FROM a JOIN t ON t.graph_id = a.graph_id AND t.node = a.anc JOIN t p ON p.graph_id = t.graph_id AND p.node = t.parent),
+ s AS (SELECT DISTINCT a.graph_id, a.node FROM a JOIN t ON t.graph_id = a.graph_id AND t.node = a.anc WHERE t.parent = a.node),
+ tops AS (SELECT t.graph_id, t.node, t.parent IS NULL AS root FROM t LEFT JOIN t p ON p.graph_id = t.graph_id AND p.node = t.parent WHERE p.node IS NULL UNION ALL SELECT graph_id, node, false FROM s),
+ k AS (SELECT a.graph_id, a.node, min(a.anc) AS key, bool_or(root) AS rooted FROM a JOIN tops ON tops.graph_id = a.graph_id AND tops.node = a.anc GROUP BY 1, 2),
+ n AS (SELECT graph_id, node, count(*) - 1 AS depth FROM a GROUP BY 1, 2)
+ SELECT k.graph_id, min(k.node) AS component, count(*) AS nodes, count(*) FILTER (rooted) AS rooted, max(CASE WHEN rooted THEN depth END) AS deepest FROM k JOIN n USING (graph_id, node) GROUP BY k.graph_id, key""",
     "p2_found": _LINE + " SELECT line_id, CASE WHEN NOT coalesce(quoted, true) THEN 'quoting' WHEN NOT coalesce(counted, false) THEN 'columns' ELSE 'value' END AS reason FROM v WHERE NOT coalesce(good AND counted, false)",
     "p2_valid": _LINE + ' SELECT line_id, graph_id, line_no, CAST(f[1] AS BIGINT) AS "row", CAST(f[2] AS BIGINT) AS col, CASE WHEN len(f) = 2 THEN 1.0 ELSE CAST(f[3] AS DOUBLE) END AS val FROM v WHERE good AND counted',
     "p3_percentiles": _percentile_sql("fname", PERMILLE),
     "p3_months": _percentile_sql("fname, month", [500, 900]),
+    "p3_bounded": f"SELECT fname, metric, permille, true AS within, n FROM ({_percentile_sql('fname', PERMILLE)})",
     "p4_columns": f"WITH {_COLUMNS} SELECT graph_id, col, entries, bad_values, round(sum_val, 4) AS sum_val, csc_entries, agree FROM c",
     "p4_matrices": f"""WITH {_COLUMNS},
  per AS (SELECT graph_id, CAST(sum(entries) AS BIGINT) AS entries, count(*) FILTER (entries > 0) AS filled_columns, max(entries) AS longest_column, round(sum(sum_val), 4) AS sum_val, count(*) FILTER (NOT agree) AS columns_differing FROM c GROUP BY 1),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from levelweave.functions import metrics
 from levelweave.model import edges, entries, is_topological, nodes
 from levelweave.operators import algebra, cells, graphs, grouping, levels, schedule, solve, trees, walks
-from levelweave.operators.hierarchy import descendant_counts, hierarchy
+from levelweave.operators.hierarchy import figures, hierarchy
 from levelweave.plans.storage import cut
 from levelweave.sources import generators, matrix_market
 from levelweave.tables import table
@@ -213,13 +213,13 @@ _TREE = """t AS (SELECT DISTINCT graph_id, node, CASE WHEN parent = -1 THEN NULL
 
 
 def _tree(spark: SparkSession, d: str) -> DataFrame:
-    return cut(hierarchy(table(spark, d, "tree")).filter("fault is null"))
+    return cut(hierarchy(table(spark, d, "tree"), paths=False).filter("fault is null"))
 
 
 @query(f"WITH RECURSIVE {_TREE}, a AS (SELECT graph_id, node, 0 AS level FROM r UNION SELECT a.graph_id, r.parent, a.level + 1 FROM a JOIN r ON r.graph_id = a.graph_id AND r.node = a.node WHERE r.parent IS NOT NULL) SELECT graph_id, node, max(level) AS level FROM a GROUP BY 1, 2")
 def tree_levels(spark: SparkSession, d: str) -> DataFrame:
     """Level of a tree node: its height above the deepest leaf below it."""
-    return descendant_counts(_tree(spark, d)).select("graph_id", "node", F.col("height").cast("int").alias("level"))
+    return figures(_tree(spark, d)).select("graph_id", "node", F.col("height").cast("int").alias("level"))
 
 
 @query(f"WITH RECURSIVE {_TREE} SELECT graph_id, max(depth) AS height, count(*) AS nodes FROM r GROUP BY 1")
@@ -235,7 +235,7 @@ def tree_children(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH RECURSIVE {_TREE}, a AS (SELECT graph_id, node, node AS anc FROM r UNION ALL SELECT a.graph_id, a.node, r.parent FROM a JOIN r ON r.graph_id = a.graph_id AND r.node = a.anc WHERE r.parent IS NOT NULL) SELECT graph_id, anc AS node, CAST(sum(node % 7 + 1) AS BIGINT) AS cost FROM a GROUP BY 1, 2")
 def subtree_costs(spark: SparkSession, d: str) -> DataFrame:
     t = _tree(spark, d)
-    return trees.subtree_costs(t, t.select("graph_id", "node", (F.col("node") % 7 + 1).alias("cost")))
+    return trees.subtree_costs(t, t.select("graph_id", "node", (F.col("node") % 7 + 1).alias("cost"))).withColumn("cost", F.col("cost").cast("long"))
 
 
 @query(f"""WITH RECURSIVE {_TREE}, a AS (SELECT graph_id, node, node AS anc FROM r UNION ALL SELECT a.graph_id, a.node, r.parent FROM a JOIN r ON r.graph_id = a.graph_id AND r.node = a.anc WHERE r.parent IS NOT NULL),
@@ -600,7 +600,7 @@ def fused_level_set(spark: SparkSession, d: str) -> DataFrame:
 
 def _tree_plan(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     t = _tree(spark, d)
-    height = cut(descendant_counts(t).select("graph_id", "node", F.col("height").cast("int").alias("level")))
+    height = cut(figures(t).select("graph_id", "node", F.col("height").cast("int").alias("level")))
     up = t.filter("parent is not null").select("graph_id", F.col("node").alias("src"), F.col("parent").alias("dst"))
     return up, t.select("graph_id", "node"), cut(schedule.coarsened_tree(t, height, bins=6))
 

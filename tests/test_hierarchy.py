@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from levelweave.operators.hierarchy import descendant_counts, descendants, hierarchy, walk
+from levelweave.operators.hierarchy import cycles, descendants, figures, forest_components, hierarchy, walk
 
 SCHEMA = "graph_id long, node long, parent long, loaded_at long"
 
@@ -40,14 +40,29 @@ def brute(rows):
     return out
 
 
+def united(up):
+    """Least node of the connected component of each node."""
+    label = {k: k[1] for k in up}
+    moved = True
+    while moved:
+        moved = False
+        for (g, v), p in up.items():
+            if (g, p) in label and label[g, v] != label[g, p]:
+                label[g, v] = label[g, p] = min(label[g, v], label[g, p])
+                moved = True
+    return label
+
+
 def check(spark, rows, **how):
     df = spark.createDataFrame(rows, SCHEMA)
     got = {(r["graph_id"], r["node"]): r for r in hierarchy(df, **how).collect()}
     want = brute(rows)
     assert set(got) == set(want)
+    component = united({k: r["parent"] for k, r in got.items()})
     for k, (fault, root, depth, path) in want.items():
         r = got[k]
         assert (r["fault"], r["root"], r["depth"]) == (fault, root, depth), (k, r, want[k])
+        assert r["component"] == component[k]
         if fault is None:
             assert r["path"] == path
 
@@ -122,10 +137,72 @@ def test_descendants(spark):
     tree = hierarchy(df)
     pairs = {(r["ancestor"], r["descendant"], r["distance"]) for r in descendants(tree).collect()}
     assert pairs == {(0, 1, 1), (0, 2, 1), (1, 3, 1), (0, 3, 2)}
-    counts = {r["node"]: (r["descendants"], r["height"]) for r in descendant_counts(tree).collect()}
+    counts = {r["node"]: (r["descendants"], r["height"]) for r in figures(tree).collect()}
     assert counts == {0: (3, 2), 1: (1, 1), 2: (0, 0), 3: (0, 0)}
 
 
+def brute_figures(up, cost, rank):
+    below = {v: [] for v in up}
+    for v, p in up.items():
+        if p is not None:
+            below[p].append(v)
+    out = {}
+
+    def visit(v, at):
+        size, height, total = 1, 0, cost[v]
+        for c in sorted(below[v], key=lambda c: (rank[c], c)):
+            at, (s, h, t) = visit(c, at)
+            size, height, total = size + s, max(height, h + 1), total + t
+        out[v] = (size - 1, height, total, at)
+        return at + 1, (size, height, total)
+
+    for v in up:
+        if up[v] is None:
+            visit(v, 0)
+    return out
+
+
+@pytest.mark.parametrize("bound", [500_000, 5])
+def test_figures_in_a_task_and_by_doubling(spark, bound):
+    rnd = random.Random(bound)
+    rows = []
+    for g in (1, 2, None):
+        names = rnd.sample(range(200), 60)
+        rows += [(g, v, None if i % 20 == 0 else names[rnd.randrange(i - i % 20, i)], 0) for i, v in enumerate(names)]
+    rows += [(4, v, v + 1 if v < 40 else None, 0) for v in range(41)] + [(5, 1, 1, 0), (6, 1, 99, 0)]
+    tree = hierarchy(spark.createDataFrame(rows, SCHEMA), max_task_rows=bound)
+    tree = tree.withColumn("c", F.col("node") % 5).withColumn("r", F.col("node") % 3)
+    got = {(r["graph_id"], r["node"]): (r["descendants"], r["height"], r["cost"], r["place"]) for r in figures(tree, cost="c", rank="r", max_task_rows=bound).collect()}
+    want = {}
+    for g in (1, 2, None, 4):
+        up = {v: p for h, v, p, _ in rows if h == g}
+        want |= {(g, v): x for v, x in brute_figures(up, {v: v % 5 for v in up}, {v: v % 3 for v in up}).items()}
+    assert got == want
+
+
+def test_a_chain_of_a_million(spark):
+    """Linear work: neither a path nor a pair of nodes is made."""
+    n = 1_000_000
+    chain = spark.range(n).select(F.lit(1).cast("long").alias("graph_id"), F.col("id").alias("node"), F.when(F.col("id") > 0, F.col("id") - 1).alias("parent"), F.lit(0).alias("loaded_at"))
+    tree = hierarchy(chain, paths=False)
+    odd = figures(tree, max_task_rows=2 * n).filter(f"descendants <> {n} - 1 - node or height <> {n} - 1 - node or place <> {n} - 1 - node")
+    assert odd.count() == 0 and tree.filter("depth = node and component = 0").count() == n
+
+
+@pytest.mark.parametrize("bound", [500_000, 6])
+def test_cycles(spark, bound):
+    rows = [(1, v, (v + 1) % 9, 0) for v in range(9)] + [(1, 20 + v, v, 0) for v in range(9)] + [(1, 50, 50, 0), (2, 3, 4, 0), (2, 4, 3, 0), (2, 5, None, 0), (None, 1, 1, 0)]
+    got = {tuple(r) for r in cycles(hierarchy(spark.createDataFrame(rows, SCHEMA), paths=False, max_task_rows=bound)).collect()}
+    assert got == {(1, 0, v, (v + 1) % 9, 9) for v in range(9)} | {(1, 50, 50, 50, 1), (2, 3, 3, 4, 2), (2, 3, 4, 3, 2), (None, 1, 1, 1, 1)}
+
+
+def test_components_of_positions():
+    import numpy as np
+
+    assert forest_components(np.array([-1, 0, 1, 4, 3, 3, -1])).tolist() == [0, 0, 0, 3, 3, 3, 6]
+    assert forest_components(np.array([], dtype=int)).tolist() == []
+
+
 def test_walk():
     state, top, depth = walk([-1, 0, 1, 3, 3, 6, 5])
     assert (state, top, depth) == ([0, 0, 0, 1, 2, 1, 1], [0, 0, 0, 3, 3, 5, 6], [0, 1, 2, 0, 1, 0, 0])
