@@ -1,15 +1,16 @@
 """Scores for abusive, hateful or sexually explicit passages from two class-conditional Kneser-Ney models.
 
 Passages (sentences and lines of every cell) become canonical words: case, accents, look-alike letters,
-digits for letters, spread-out and doubled letters are undone. Two interpolated Kneser-Ney trigram
-models, of abusive and of ordinary passages, give each word its log-likelihoods; below
-bigrams both fall back on the same continuation counts, so that rare expressions
-weigh alike in both. The score of a passage is the greatest length-normalised difference of the
-log-likelihoods over its runs of words, and that of a document the greatest of its passages.
-
-Reviewers mark documents, not passages, and sometimes wrongly. So fitting starts from all passages of
-marked documents and then, for a few rounds, keeps as abusive only the passages of marked documents
-that the last models call abusive, and as ordinary only those they call ordinary.
+digits for letters, spread-out and doubled letters are undone. The ordinary class is an interpolated
+Kneser-Ney trigram model whose lowest order pools the continuation counts of both classes; the abusive class is one
+whose backoff is the ordinary model, so that where abusive text has shown nothing of its own, both
+classes smooth a rare expression alike. Every n-gram counts, singletons included. The score of a
+passage is its log-likelihood ratio, abusive over ordinary, normalised by its length; that of a document the greatest of its passages.
+
+Reviewers mark documents, not passages, and sometimes wrongly. So the passages to learn from are picked first: the first
+models take as abusive only n-grams that marked documents have clearly more often than others; the
+passages they call abusive are counted in full for the next models, and those score all marked passages once
+more, each without the counts of its own document. What contradicts its mark is in neither class.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -79,21 +81,40 @@ def canonical(word: str) -> str:
     return _RUNS.sub(r"\1", low)
 
 
+def plain(word: str) -> bool:
+    """Whether a token is one word in no disguise: neither masked, nor joined from several by capitals."""
+    return word.isalnum() and (word.islower() or word.isupper() or word.istitle() or word.isdigit() or not word.isascii())
+
+
+def spoken(tokens: set[str]) -> set[str]:
+    """Canonical words for the vocabulary: plain tokens, and the parts of joined ones."""
+    out: set[str] = set()
+    for x in tokens:
+        if plain(x):
+            out.add(canonical(x))
+        else:
+            for p in _MASKS.split(x):
+                parts = _HUMP.findall(p)
+                if len(parts) > 1:
+                    out.update(map(canonical, parts))
+    return out
+
+
 class Words:
-    """Ids of canonical words, with spread-out, masked and joined words resolved against the vocabulary."""
+    """Ids of canonical words, with spread-out, masked and joined words resolved against the vocabulary, the most frequent first."""
 
     #: Tokens kept in the cache before it is emptied.
     MOST = 500_000
 
     def __init__(self, vocabulary: list[str]):
         letters = list("abcdefghijklmnopqrstuvwxyz")
-        self.names = [OTHER, NUMBER, END, *letters, *sorted(set(vocabulary) - {OTHER, NUMBER, *letters, *_ENDS})]
+        fixed = {OTHER, NUMBER, END, *letters, *_ENDS}
+        self.names = [OTHER, NUMBER, END, *letters, *(w for w in dict.fromkeys(vocabulary) if w not in fixed)]
         self.ids = {w: i for i, w in enumerate(self.names)}
-        self.holes: dict[str, str] = {}
+        self.by_length: dict[int, list[str]] = {}
         for w in self.names[29:]:
             if len(w) >= 5:
-                for k in range(1, len(w)):
-                    self.holes.setdefault(w[:k] + "*" + w[k + 1 :], w)
+                self.by_length.setdefault(len(w), []).append(w)
         self._forget()
 
     def _forget(self) -> None:
@@ -103,7 +124,7 @@ class Words:
     def of(self, word: str) -> tuple[int, ...]:
         got = self.ids.get(canonical(word))
         if got is None and (masked := _MASKS.sub("*", word.lower()).translate(DIGITS)).count("*") == 1:
-            got = self.ids.get(self.holes.get(_RUNS.sub(r"\1", masked), ""))
+            got = self._unmasked(_RUNS.sub(r"\1", masked))
         if got is None and (_MASKS.search(word) or not (word.islower() or word.isupper())):
             parts = [h for p in _MASKS.split(word) for h in _HUMP.findall(p)]
             ids = tuple(self.ids.get(canonical(p), 0) for p in parts)
@@ -111,6 +132,15 @@ class Words:
                 return ids
         return (got or 0,)
 
+    def _unmasked(self, masked: str) -> int | None:
+        """The most frequent word that differs in the masked letter only, which is not the first."""
+        begin, end = masked.split("*")
+        if begin:
+            for w in self.by_length.get(len(masked), ()):
+                if w.startswith(begin) and w.endswith(end):
+                    return self.ids[w]
+        return None
+
     def _new(self, word: str) -> int:
         ids = self.of(word)
         if len(ids) == 1:
@@ -141,12 +171,14 @@ class Words:
         return out
 
 
-def grams(ids: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Codes of the uni-, bi- and trigram that end at each position; END stands for what precedes a passage."""
-    a = np.concatenate([[2], ids[:-1]]) if len(ids) else ids
-    b = np.concatenate([[2], a[:-1]]) if len(ids) else ids
-    b = np.where(a == 2, 2, b)
-    return ids, a * size + ids, (b * size + a) * size + ids
+def contexts(ids: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The word before each position, and the code of the two before; END stands for what precedes a passage."""
+    ids = ids.astype(np.int64)
+    if not len(ids):
+        return ids, ids
+    last = np.concatenate([[2], ids[:-1]])
+    before = np.concatenate([[2], last[:-1]])
+    return last, np.where(last == 2, 2, before) * size + last
 
 
 def sketch(tokens: list[str], cache: dict[str, int], run: int = 8) -> int:
@@ -160,142 +192,162 @@ def sketch(tokens: list[str], cache: dict[str, int], run: int = 8) -> int:
     return int(h.min() >> np.uint64(1))
 
 
+def _find(table: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where codes stand in a sorted table, and whether they do."""
+    if not len(table):
+        return np.zeros(len(codes), np.int64), np.zeros(len(codes), bool)
+    at = np.searchsorted(table, codes)
+    at[at == len(table)] = 0
+    return at, table[at] == codes
+
+
+def _share(discounted: np.ndarray, total: np.ndarray) -> np.ndarray:
+    return np.where(total > 0, np.maximum(discounted, 0) / np.maximum(total, 1), 0.0)
+
+
+def _backoff(kinds: np.ndarray, total: np.ndarray, discount: float) -> np.ndarray:
+    return np.where(total > 0, discount * kinds / np.maximum(total, 1), 1.0)
+
+
+class Abusive:
+    """Discounted shares and backoff weights of the abusive trigrams (ctx, w, n); ``less`` takes one document off every count."""
+
+    def __init__(self, size: int, ctx: np.ndarray, w: np.ndarray, n: np.ndarray, less: int, discount: float):
+        keep = n > less
+        bigrams = (ctx % size) * size + w
+        self.bi = np.unique(bigrams)  # the same for both, so that positions can be looked up once
+        self.ctx, of = np.unique(ctx, return_inverse=True)
+        code = of * size + w
+        order = np.argsort(code)
+        self.tri = code[order]
+        n = np.where(keep, n - less, 0).astype(float)
+        last = self.bi // size
+        continued = np.bincount(np.searchsorted(self.bi, bigrams), weights=keep, minlength=len(self.bi))
+        total2, kinds2 = np.bincount(last, weights=continued, minlength=size), np.bincount(last, weights=continued > 0, minlength=size)
+        self.q2, self.back2 = _share(continued - discount, total2[last]), _backoff(kinds2, total2, discount)
+        total3, kinds3 = np.bincount(of, weights=n, minlength=len(self.ctx)), np.bincount(of, weights=keep, minlength=len(self.ctx))
+        self.q3, self.back3 = _share(np.where(keep, n - discount, 0), total3[of])[order], _backoff(kinds3, total3, discount)
+
+
+class Ordinary:
+    """The ordinary model as far as scores need it: at bigrams that abusive text has.
+
+    ``uni`` (last, total, kinds, of them seen twice ...), ``bi`` (last * size + w), ``ctx`` and ``tri`` are counts that Spark made.
+    """
+
+    def __init__(self, size: int, p1: np.ndarray, uni: pd.DataFrame, bi: pd.DataFrame, ctx: pd.DataFrame, tri: pd.DataFrame, less: int, discount: float):
+        total, kinds, pairs = ("x1", "x2", "x1") if not less else ("x3", "x4", "x2")
+        self.size, self.p1 = size, p1
+        total2, kinds2 = np.zeros(size), np.zeros(size)
+        total2[uni["k"]], kinds2[uni["k"]] = uni[total], uni[kinds]
+        self.back2 = _backoff(kinds2, total2, discount)
+        bi = bi.sort_values("k")
+        self.bi = bi["k"].to_numpy(np.int64)
+        self.q2 = _share(bi[pairs].to_numpy(float) - discount, total2[self.bi // size])
+        ctx = ctx.sort_values("k")
+        self.ctx = ctx["k"].to_numpy(np.int64)
+        held = (ctx["x1"] - ctx["x2"] * less).to_numpy(float)
+        self.back3 = _backoff(ctx["x3" if less else "x2"].to_numpy(float), held, discount)
+        of = np.searchsorted(self.ctx, tri["k"].to_numpy(np.int64))
+        code = of * size + tri["w"].to_numpy(np.int64)
+        order = np.argsort(code)
+        n = tri["x1"].to_numpy(float) - less
+        self.tri, self.q3 = code[order], _share(np.where(n > 0, n - discount, 0), held[of] if len(of) else n)[order]
+
+    def p(self, ctx: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        last = ctx % self.size
+        at, known = _find(self.bi, last * self.size + ids)
+        low = (np.where(known, self.q2[at], 0.0) if len(self.bi) else 0.0) + self.back2[last] * self.p1[ids]
+        at, known = _find(self.ctx, ctx)
+        if len(self.ctx):
+            low = low * np.where(known, self.back3[at], 1.0)
+        in3, known3 = _find(self.tri, np.where(known, at * self.size + ids, -1))
+        return low + (np.where(known3, self.q3[in3], 0.0) if len(self.tri) else 0.0)
+
+
 class Model:
-    """Both classes' interpolated Kneser-Ney trigram models, over one sorted table for each order.
+    """Both classes' models; ``scores`` gives log-likelihood ratios of passages.
 
-    ``tri`` holds counts of trigrams by class. Bigrams and unigrams are counted by the contexts they
-    continue; the unigrams of both classes are pooled, which is the shared backoff.
+    ``rows`` holds the counts that Spark made, a row for each: ``kind``, key ``k`` and ``w`` and up to four figures.
     """
 
     D = 0.75
+    #: Added to a passage's length, so that a word or two are no passage.
+    PAD = 2.0
+
+    def __init__(self, size: int, rows: pd.DataFrame):
+        self.size = size
+        of = {kind: rows[rows["kind"] == kind] for kind in ("abusive", "pool", "uni", "bi", "ctx", "tri")}
+        p1 = np.full(size, 0.5)
+        p1[of["pool"]["k"].to_numpy(np.int64)] += of["pool"]["x1"].to_numpy(float)
+        a = of["abusive"]
+        key = (a["k"].to_numpy(np.int64), a["w"].to_numpy(np.int64), a["x1"].to_numpy(np.int64))
+        self.abusive = [Abusive(size, *key, less, self.D) for less in (0, 1)]
+        self.ordinary = [Ordinary(size, p1 / p1.sum(), of["uni"], of["bi"], of["ctx"], of["tri"], less, self.D) for less in (0, 1)]
+
+    def differences(self, ids: np.ndarray, own_abusive: np.ndarray | None = None, own_ordinary: np.ndarray | None = None) -> np.ndarray:
+        """log p(word | abusive) - log p(word | ordinary) at each position.
+
+        ``own_abusive`` and ``own_ordinary`` tell the positions that were counted for a class; there it is taken without one document.
+        Where abusive text lacks the bigram, the ordinary probability cancels out, so it is worked out for few positions only.
+        """
+        out = np.zeros(len(ids))
+        full = self.abusive[0]
+        if not len(ids) or not len(full.bi):
+            return out
+        last, ctx = contexts(ids, self.size)
+        own_abusive = np.zeros(len(ids), bool) if own_abusive is None else own_abusive
+        some = np.flatnonzero(full.back2[last] < 1.0)
+        last, ctx, w, less = last[some], ctx[some], ids[some].astype(np.int64), own_abusive[some].astype(np.int64)
+        ratio = np.stack([x.back2 for x in self.abusive])[less, last]
+        at2, in2 = _find(full.bi, last * self.size + w)
+        atc, inc = _find(full.ctx, ctx)
+        at3, in3 = _find(full.tri, np.where(inc, atc * self.size + w, -1))
+        two = np.flatnonzero(in2)
+        o = self.ordinary[0].p(ctx[two], w[two])
+        if own_ordinary is not None and own_ordinary.any():
+            o = np.where(own_ordinary[some][two], self.ordinary[1].p(ctx[two], w[two]), o)
+        ratio[two] += np.stack([x.q2 for x in self.abusive])[less[two], at2[two]] / o
+        ratio *= np.where(inc, np.stack([x.back3 for x in self.abusive])[less, atc], 1.0)
+        ratio[two] += np.where(in3[two], np.stack([x.q3 for x in self.abusive])[less[two], at3[two]], 0.0) / o
+        out[some] = np.log(ratio)
+        return out
 
-    def __init__(self, size: int, codes: np.ndarray, counts: np.ndarray):
-        self.size, d = size, self.D
-        order = np.argsort(codes)
-        self.tri, c3 = codes[order], counts[order].astype(float)
-        seen = c3 > 0
-        bi_of, ctx3 = self.tri % (size * size), self.tri // size
-        self.bi = np.unique(np.concatenate([bi_of, ctx3]))
-        at_bi, at_ctx = np.searchsorted(self.bi, bi_of), np.searchsorted(self.bi, ctx3)
-        nb = len(self.bi)
-        uni_share = np.bincount(self.bi % size, weights=(np.bincount(at_bi, weights=seen.any(axis=1), minlength=nb) > 0).astype(float), minlength=size)[:size] + 0.5
-        self.p1 = uni_share / uni_share.sum()
-        self.p3, self.p2, self.back3, self.back2 = [], [], [], []
-        for k in range(2):
-            c2 = np.bincount(at_bi, weights=seen[:, k].astype(float), minlength=nb)  # continuations of each bigram
-            ctx2 = self.bi // size
-            tot2, kinds2 = np.bincount(ctx2, weights=c2, minlength=size), np.bincount(ctx2, weights=(c2 > 0).astype(float), minlength=size)
-            back2 = np.where(tot2 > 0, d * kinds2 / np.maximum(tot2, 1), 1.0)
-            p2 = np.maximum(c2 - d, 0) / np.maximum(tot2[ctx2], 1) + back2[ctx2] * self.p1[self.bi % size]
-            tot3, kinds3 = np.bincount(at_ctx, weights=c3[:, k], minlength=nb), np.bincount(at_ctx, weights=seen[:, k].astype(float), minlength=nb)
-            back3 = np.where(tot3 > 0, d * kinds3 / np.maximum(tot3, 1), 1.0)
-            p3 = np.maximum(c3[:, k] - d, 0) / np.maximum(tot3[at_ctx], 1) + back3[at_ctx] * p2[at_bi]
-            self.p3.append(np.log(p3))
-            self.p2.append(np.log(p2))
-            self.back3.append(np.log(back3))
-            self.back2.append(np.log(back2))
-        self.p1 = np.log(self.p1)
-        # what the classes differ by is all that scoring needs
-        self.d3, self.d2 = self.p3[0] - self.p3[1], self.p2[0] - self.p2[1]
-        self.b3, self.b2 = self.back3[0] - self.back3[1], self.back2[0] - self.back2[1]
-        del self.p3, self.p2, self.back3, self.back2
-
-    @staticmethod
-    def _at(table: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.searchsorted(table, codes)
-        at[at == len(table)] = 0
-        return at, table[at] == codes
-
-    def differences(self, ids: np.ndarray) -> np.ndarray:
-        """log p(word | abusive) - log p(word | ordinary) at each position."""
-        if not len(ids) or not len(self.tri):
-            return np.zeros(len(ids))
-        _, two, three = grams(ids, self.size)
-        at2, in2 = self._at(self.bi, two)
-        lower = np.where(in2, self.d2[at2], self.b2[two // self.size])
-        at_ctx, in_ctx = self._at(self.bi, three // self.size)
-        lower = lower + np.where(in_ctx, self.b3[at_ctx], 0.0)
-        at3, in3 = self._at(self.tri, three)
-        return np.where(in3, self.d3[at3], lower)
-
-
-def passage_scores(ids: np.ndarray, diff: np.ndarray, least: int = 3, pad: float = 4.0) -> tuple[np.ndarray, np.ndarray]:
-    """Per passage (words up to an END): where it ends, and a lower bound of its score.
-
-    For every last word the run of greatest sum is taken, and its sum divided by the run's
-    length plus ``pad``; runs of fewer than ``least`` words count as that long. ``run_scores`` starts from it.
-    """
-    ends = np.flatnonzero(ids == 2)
-    if not len(ends):
-        return ends, np.zeros(0)
-    total = np.cumsum(diff)
-    # the best run is bounded by the least prefix sum before its end (Kadane), passage by passage
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    before = np.concatenate([[0.0], total])[starts]
-    n = np.repeat(np.arange(len(ends)), ends - starts + 1)
-    prefix = np.concatenate([[0.0], total])[: ends[-1] + 1]  # sum before each position
-    span = prefix[: ends[-1] + 1] - before[n]
-    shift = np.abs(span).max() * 2 + 1.0
-    low_at = np.minimum.accumulate(span - n * shift) + n * shift
-    newest = np.where(span <= low_at, np.arange(len(span)), 0)
-    low_pos = np.maximum.accumulate(newest)
-    gain = total[: ends[-1] + 1] - before[n] - low_at
-    length = np.maximum(np.arange(len(span)) - low_pos + 1, least)
-    value = gain / (length + pad)
-    return ends, np.maximum.reduceat(value, starts)
-
-
-def run_scores(ids: np.ndarray, diff: np.ndarray, least: int = 3, pad: float = 4.0) -> tuple[np.ndarray, np.ndarray]:
-    """Per passage (words up to an END): where it ends, and its score.
-
-    The score is the greatest of all runs of words: their sum of differences divided by their
-    length plus ``pad``; runs of fewer than ``least`` words count as that long. Exact, by Dinkelbach's
-    rounds: a run beats a score t if its sum of (difference - t) exceeds t * pad.
+    def scores(self, ids: np.ndarray, *own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Per passage (words up to an END): where it ends, and its ratio over its length and ``PAD``."""
+        ends = np.flatnonzero(ids == 2)
+        if not len(ends):
+            return ends, np.zeros(0)
+        starts = np.concatenate([[0], ends[:-1] + 1])
+        sums = np.add.reduceat(self.differences(ids, *own)[: ends[-1] + 1], starts)
+        return ends, sums / (ends - starts + 1 + self.PAD)
+
+
+def picked(ids: np.ndarray, toxic: np.ndarray, models: list[Model], select: float) -> tuple[np.ndarray, np.ndarray]:
+    """Positions whose passage is abusive, and those whose is ordinary, as training text, after each of ``models`` in turn.
+
+    ``toxic`` tells the mark of the document at each position.
     """
-    ends, best = passage_scores(ids, diff, least, pad)
-    if not len(ends):
-        return ends, best
-    sizes = np.diff(ends, prepend=-1)
-    used, n = diff[: ends[-1] + 1], np.repeat(np.arange(len(ends)), sizes)
-    total = np.concatenate([[0.0], np.cumsum(used)])
-    for k in range(1, min(least, len(used) + 1)):
-        inside = n[k - 1 :] == n[: len(n) - k + 1]
-        np.maximum.at(best, n[k - 1 :][inside], (total[k:] - total[:-k])[inside] / (least + pad))
-    live = np.flatnonzero(sizes >= least)
-    while len(live):
-        held = np.zeros(len(ends), bool)
-        held[live] = True
-        d, m = used[held[n]], np.repeat(np.arange(len(live)), sizes[live])
-        starts = np.concatenate([[0], np.cumsum(sizes[live])[:-1]])
-        gain = np.concatenate([[0.0], np.cumsum(d - best[live][m])])
-        span = gain[:-1] - gain[starts][m]
-        shifted = span - m * (np.abs(span).max() * 2 + 1.0)
-        low_pos = np.maximum.accumulate(np.where(shifted == np.minimum.accumulate(shifted), np.arange(len(d)), 0))
-        last = np.arange(least - 1, len(d))
-        first = low_pos[: len(last)]  # of the least sum before a run that is long enough
-        whole = np.concatenate([[0.0], np.cumsum(d)])
-        value = np.full(len(d), -np.inf)
-        value[last] = np.where(m[last] == m[: len(last)], (whole[last + 1] - whole[first]) / (last - first + 1 + pad), -np.inf)
-        reached = np.maximum.reduceat(value, starts)
-        better = reached > best[live] + 1e-9
-        best[live] = np.maximum(best[live], reached)
-        live = live[better]
-    return ends, best
+    abusive, ordinary = toxic, ~toxic
+    for m in models:
+        ends, scores = m.scores(ids, abusive, ordinary)
+        high = np.repeat(scores > select, np.diff(ends, prepend=-1))
+        abusive, ordinary = high & toxic, ~high & ~toxic  # what contradicts the mark is in neither class
+    return abusive, ordinary
 
 
 class Fit:
-    """What a task needs to score texts: words, model and the threshold of a case."""
+    """What a task needs to score texts: words and models."""
 
     def __init__(self, words: Words, model: Model):
         self.words, self.model = words, model
 
-    def passages(self, tokens: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of all texts, ends and scores of their passages, and the text each passage is of."""
+    def passages(self, tokens: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ends and scores of the passages of all texts, and the text each passage is of."""
         ids = [self.words.encode(t) for t in tokens]
         sizes = np.array([len(i) for i in ids])
-        flat = np.concatenate(ids) if ids else np.zeros(0, np.int64)
-        ends, scores = run_scores(flat, self.model.differences(flat))
-        return flat, ends, scores, np.searchsorted(np.cumsum(sizes), ends, side="right")
+        ends, scores = self.model.scores(np.concatenate(ids) if ids else np.zeros(0, np.int64))
+        return ends, scores, np.searchsorted(np.cumsum(sizes), ends, side="right")
 
 
 def _marked_sample(labels: DataFrame, sample: int) -> DataFrame:
@@ -307,28 +359,41 @@ def _marked_sample(labels: DataFrame, sample: int) -> DataFrame:
     return marks
 
 
-def _cleaned_counts(pdf: pd.DataFrame, docs: tuple[int, int], sure: float, ratio: float) -> np.ndarray:
-    """Document counts of each n-gram given to one class.
+def _statistics(counted: DataFrame, size: int) -> DataFrame:
+    """The rows of a ``Model`` from (ctx, w, t, n), the documents of each class that have a trigram.
 
-    Marked documents are mostly ordinary text, and some marks are wrong: an n-gram is abusive if abusive
-    documents have it clearly more often (by ``sure`` deviations and ``ratio`` times) than
-    ordinary ones, and all its ordinary counts are then wrong marks; else all are ordinary. More than
-    ``sure`` of the abusive ones must not be copies of each other: the names in a much
-    copied document are no mark of abuse.
+    Ordinary counts are kept where abusive text has the bigram or, for sums, its first word, so what
+    comes to the driver grows with the abusive passages of the sample and their contexts alone.
     """
-    tox, plain = pdf["tox"].to_numpy(float), pdf["plain"].to_numpy(float)
-    expected = plain * docs[0] / max(docs[1], 1)
-    mine = (tox - expected > sure * np.sqrt(expected + 1)) & (tox >= ratio * expected) & (pdf["alone"].to_numpy() > sure)
-    return np.stack([np.where(mine, tox, 0), np.where(mine, 0, tox + plain)], axis=1)
-
-
-def fit(docs: DataFrame, labels: DataFrame, *, sample: int = 40_000, rounds: int = 2, cutoff: int = 3, least: int = 3, sure: float = 3.0, ratio: float = 3.0, select: float = 2.0) -> Fit | None:
+    last = F.col("ctx") % size
+    c = counted.withColumn("last", last).withColumn("pair", last * size + F.col("w"))
+    empty = lambda *xs: [x.cast("long").alias(f"x{i + 1}") for i, x in enumerate([*xs, *[F.lit(0)] * (4 - len(xs))])]
+    row = lambda df, kind, k, w, *xs: df.select(F.lit(kind).alias("kind"), k.cast("long").alias("k"), w.cast("long").alias("w"), *empty(*xs))
+    zero, x = F.lit(0), F.col
+    own, other = c.filter("t > 0"), c.filter("n > 0")
+    pairs, lasts = F.broadcast(own.select("pair").distinct()), F.broadcast(own.select("last").distinct())  # of the sample's abusive passages
+    twice = F.count(F.when(F.col("n") > 1, 1))
+    near = other.join(pairs, "pair", "left_semi")
+    sums = other.groupBy("last", "w").agg(F.count(F.lit(1)).alias("c"), twice.alias("c1")).groupBy("last").agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("kinds"), F.sum("c1").alias("total1"), F.count(F.when(F.col("c1") > 0, 1)).alias("kinds1"))
+    per_pair = near.groupBy("pair").agg(F.count(F.lit(1)).alias("c"), twice.alias("c1"))
+    per_ctx = other.join(lasts, "last", "left_semi").groupBy("ctx").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"), twice.alias("kinds1"))
+    pool = c.select("w", "pair").distinct().groupBy("w").agg(F.count(F.lit(1)).alias("c"))
+    parts = [
+        row(own, "abusive", x("ctx"), x("w"), x("t")), row(near, "tri", x("ctx"), x("w"), x("n")), row(pool, "pool", x("w"), zero, x("c")),
+        row(sums, "uni", x("last"), zero, x("total"), x("kinds"), x("total1"), x("kinds1")), row(per_pair, "bi", x("pair"), zero, x("c"), x("c1")),
+        row(per_ctx, "ctx", x("ctx"), zero, x("total"), x("kinds"), x("kinds1")),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def fit(docs: DataFrame, labels: DataFrame, *, sample: int = 40_000, rounds: int = 2, sure: float = 3.0, ratio: float = 3.0, select: float = 1.5) -> Fit | None:
     """The models, from at most about ``sample`` marked documents; None if a class has none.
 
-    Counts are of documents, made by Spark over the sample, written as tokens once. What comes to the
-    driver are the vocabulary (words of ``least`` sampled documents) and the trigrams that ``cutoff``
-    documents have, both bounded by ``sample``. After a first fit on everything, ``rounds`` more
-    take as abusive the passages that score above ``select``, wherever they are marked.
+    Counts are of documents, made by Spark over the sample, written as ids of words once. All words and n-grams of the sample count;
+    of copies of an abusive document (equal least hash of runs of eight tokens) only one does. For the first
+    models an n-gram is abusive if marked documents have it more often than ordinary ones by ``sure``
+    deviations and ``ratio`` times; its ordinary counts are then wrong marks. After that, ``rounds`` times, the
+    passages that score above ``select`` in marked documents are counted whole, without any such test.
     """
     spark = docs.sparkSession
     marks = _marked_sample(labels, sample)
@@ -341,54 +406,54 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample: int = 40_000, rounds: int
             tokens = [raw_tokens(t if isinstance(t, str) else None, f) for t, f in zip(pdf["text"], pdf["fmt"])]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "toxic": pdf["toxic"], "tokens": tokens, "sketch": [sketch(t, cache) for t in tokens]})
 
-    sketched = cut(chosen.mapInPandas(tokenise, "doc_id long, toxic boolean, tokens array<string>, sketch long"))
-    first = sketched.groupBy("toxic", "sketch").agg(F.min("doc_id").alias("first"))  # a row for each sampled document at most
-    tokens = sketched.join(F.broadcast(first), ["toxic", "sketch"]).select("toxic", "tokens", (F.col("doc_id") == F.col("first")).alias("alone"))
+    tokens = cut(chosen.mapInPandas(tokenise, "doc_id long, toxic boolean, tokens array<string>, sketch long"))
     by = {r["toxic"]: r["n"] for r in tokens.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    docs_of = (by.get(True, 0), by.get(False, 0))
-    if not all(docs_of):
+    if not by.get(True) or not by.get(False):
         return None
 
     def words_in(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in (b.iloc[at : at + 1000] for b in batches for at in range(0, len(b), 1000)):
-            yield pd.DataFrame({"word": [w for t in pdf["tokens"] for w in {canonical(x) for x in set(t) - _ENDS}]}, dtype=object)
+            yield pd.DataFrame({"word": [w for t in pdf["tokens"] for w in spoken(set(t) - _ENDS)]}, dtype=object)
+
+    vocabulary = tokens.select("tokens").mapInPandas(words_in, "word string").groupBy("word").count()
+    held = sorted((-r["count"], r["word"]) for r in vocabulary.toLocalIterator())  # words of the sample
+    words = Words([w for _, w in held])
+    size = len(words.names)
+    lexicon = spark.sparkContext.broadcast(words)
+    first = tokens.filter("toxic").groupBy("sketch").agg(F.min("doc_id").alias("first"))  # a row for each sampled document at most
+    flagged = tokens.join(F.broadcast(first), "sketch", "left").select("tokens", "toxic", (~F.col("toxic") | (F.col("doc_id") == F.col("first"))).alias("counts"))
+
+    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"toxic": pdf["toxic"], "counts": pdf["counts"], "ids": [lexicon.value.encode(list(t)).astype(np.int32) for t in pdf["tokens"]]})
 
-    vocabulary = tokens.select("tokens").mapInPandas(words_in, "word string").groupBy("word").count().filter(F.col("count") >= least)
-    words = Words([r["word"] for r in vocabulary.select("word").toLocalIterator()])
-    fitted: Fit | None = None
-    for _ in range(rounds + 1):
-        shared = spark.sparkContext.broadcast((words, fitted))
+    texts = cut(flagged.mapInPandas(encode, "toxic boolean, counts boolean, ids array<int>"))
+    models: list[Model] = []
+    for k in range(rounds + 1):
+        shared = spark.sparkContext.broadcast(models)
 
         def count(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            words, fitted = shared.value
-            size = len(words.names)
             for pdf in (b.iloc[at : at + 1000] for b in batches for at in range(0, len(b), 1000)):
-                codes, tox = [], []
-                for toxic, t, alone in zip(pdf["toxic"], pdf["tokens"], pdf["alone"]):
-                    ids = words.encode(list(t))
-                    if not len(ids):
-                        continue
-                    tri = grams(ids, size)[2]
-                    if fitted is None:
-                        mine = np.full(len(ids), toxic)
-                        keep = np.ones(len(ids), bool)
-                    else:
-                        ends, scores = run_scores(ids, fitted.model.differences(ids))
-                        high = np.repeat(scores > select, np.diff(ends, prepend=-1))
-                        mine, keep = high, high == toxic  # what contradicts the mark is in neither class
-                    for k in (True, False):
-                        u = np.unique(tri[keep & (mine == k)])
-                        codes.append(u)
-                        tox.append(np.full(len(u), k + 2 * (k and alone)))
-                if codes:
-                    kind = np.concatenate(tox).astype(np.int64)
-                    out = pd.DataFrame({"code": np.concatenate(codes), "t": kind & 1, "n": 1 - (kind & 1), "a": kind >> 1})
-                    yield out.groupby("code", as_index=False)[["t", "n", "a"]].sum()
-
-        counted = tokens.mapInPandas(count, "code long, t long, n long, a long").groupBy("code").agg(F.sum("t").alias("tox"), F.sum("n").alias("plain"), F.sum("a").alias("alone")).filter(F.col("tox") + F.col("plain") >= cutoff)
-        pdf = counted.toPandas().sort_values("code")
-        fitted = Fit(words, Model(len(words.names), pdf["code"].to_numpy(np.int64), _cleaned_counts(pdf, docs_of, sure, ratio)))
-    return fitted
+                sizes = np.array([len(i) for i in pdf["ids"]])
+                ids = np.concatenate(pdf["ids"].to_list()).astype(np.int64)
+                toxic = np.repeat(pdf["toxic"].to_numpy(bool), sizes)
+                doc, counts = np.repeat(np.arange(len(pdf)), sizes), np.repeat(pdf["counts"].to_numpy(bool), sizes)
+                if not len(ids):
+                    continue
+                ctx = contexts(ids, size)[1]
+                for kind, kept in zip(("t", "n"), picked(ids, toxic, shared.value, select)):
+                    at = np.flatnonzero(kept & counts)
+                    once = pd.DataFrame({"ctx": ctx[at], "w": ids[at], "doc": doc[at]}).drop_duplicates()
+                    n = once.groupby(["ctx", "w"], as_index=False).size()
+                    yield pd.DataFrame({"ctx": n["ctx"], "w": n["w"], "t": n["size"] * (kind == "t"), "n": n["size"] * (kind == "n")})
+
+        counted = texts.mapInPandas(count, "ctx long, w int, t long, n long").groupBy("ctx", "w").agg(F.sum("t").alias("t"), F.sum("n").alias("n"))
+        if not k:
+            expected = F.col("n") * (by[True] / by[False])
+            mine = (F.col("t") - expected > sure * F.sqrt(expected + 1)) & (F.col("t") >= ratio * expected)
+            counted = counted.select("ctx", "w", F.when(mine, F.col("t")).otherwise(0).alias("t"), F.when(mine, 0).otherwise(F.col("n")).alias("n"))
+        models = [*models, Model(size, _statistics(cut(counted), size).toPandas())]
+    return Fit(words, models[-1])
 
 
 def score(docs: DataFrame, labels: DataFrame, *, sample: int = 40_000, threshold: float = 2.5, **fitting: float) -> DataFrame:
@@ -409,7 +474,7 @@ def score(docs: DataFrame, labels: DataFrame, *, sample: int = 40_000, threshold
                 pdf = whole.iloc[at : at + 256]
                 best, many = np.zeros(len(pdf)), np.zeros(len(pdf), dtype=np.int64)
                 if own is not None:
-                    _, ends, scores, of = own.passages([raw_tokens(t if isinstance(t, str) else None, f) for t, f in zip(pdf["text"], pdf["fmt"])])
+                    ends, scores, of = own.passages([raw_tokens(t if isinstance(t, str) else None, f) for t, f in zip(pdf["text"], pdf["fmt"])])
                     if len(ends):
                         best = np.full(len(pdf), -np.inf)
                         np.maximum.at(best, of, scores)
