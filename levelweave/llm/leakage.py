@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,25 +20,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from levelweave.llm.text import plain_words, readable, unmarked
+from levelweave.plans.storage import cut
 
 _SENTENCE = re.compile(r"[^.!?。！？:]*[.!?。！？:]?")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def item_words(items: pd.DataFrame, shared_by: int) -> dict[int, list[list[str]]]:
-    """Runs of words of each item, cut at sentences that ``shared_by`` items or more have."""
-    cut = {i: [plain_words(unmarked(s)) for s in _SENTENCE.findall(t or "")] for i, t in zip(items["item_id"], items["text"])}
-    many = Counter(s for sentences in cut.values() for s in {tuple(x) for x in sentences if x})
-    out: dict[int, list[list[str]]] = {}
-    for i, sentences in cut.items():
-        runs: list[list[str]] = [[]]
-        for s in sentences:
-            if s and many[tuple(s)] >= shared_by:
-                runs.append([])
-            else:
-                runs[-1] += s
-        out[int(i)] = [r for r in runs if r]
-    return out
+def sentences(text: str | None) -> list[str]:
+    """The sentences of an item as their plain words, in order."""
+    return [" ".join(plain_words(unmarked(x))) for x in _SENTENCE.findall(text or "")]
+
+
+def runs_between(parts: list[str], shared: set[str]) -> list[list[str]]:
+    """Runs of words of an item, cut at the ``shared`` sentences."""
+    runs: list[list[str]] = [[]]
+    for s in parts:
+        if s and s in shared:
+            runs.append([])
+        else:
+            runs[-1] += s.split()
+    return [r for r in runs if r]
+
+
+def document_words(text: str | None, fmt: str | None) -> list[list[str]]:
+    """Plain words of a document's sources and of its outputs."""
+    return [plain_words(unmarked(part)) for part in readable(text, fmt) if part]
 
 
 def _grams(ids: np.ndarray, size: int) -> np.ndarray:
@@ -96,14 +102,12 @@ class Index:
         self.run = np.concatenate(runs)[order] if runs else np.zeros(0, int)
         self.at = np.concatenate(at)[order] if at else np.zeros(0, int)
 
-    def find(self, text: str | None, fmt: str | None) -> set[int]:
-        """Items of which the text carries a window."""
+    def find(self, parts: list[list[str]]) -> set[int]:
+        """Items of which one of the parts of a document carries a window."""
         found: set[int] = set()
-        for part in readable(text, fmt):
-            if not part:
-                continue
-            get = self.ids.get
-            words = np.fromiter((get(w, -1) for w in plain_words(unmarked(part))), dtype=np.int64)
+        get = self.ids.get
+        for part in parts:
+            words = np.fromiter((get(w, -1) for w in part), dtype=np.int64, count=len(part))
             if len(words) < self.window - self.errors:
                 continue
             known = np.concatenate([[0], np.cumsum(words >= 0)])
@@ -142,29 +146,54 @@ class Index:
         return False
 
 
-def leaked(docs: DataFrame, items: DataFrame, *, window: int = 20, errors: int = 2, shared_by: int = 5, block: int = 20_000) -> DataFrame:
+def _marked_sentences(items: DataFrame, shared_by: int) -> DataFrame:
+    """(own, item_id, at, sentence, shared, words) of all sentences; ``shared`` ones stand in ``shared_by`` items or more, of all blocks."""
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(o, i, k, s, s.count(" ") + 1) for o, i, t in zip(pdf["own"], pdf["item_id"], pdf["text"]) for k, s in enumerate(sentences(t if isinstance(t, str) else None)) if s]
+            yield pd.DataFrame(rows, columns=["own", "item_id", "at", "sentence", "words"])
+
+    rows = items.filter(F.col("item_id").isNotNull()).select(F.monotonically_increasing_id().alias("own"), F.col("item_id").cast("long").alias("item_id"), "text")
+    every = cut(rows.mapInPandas(split, "own long, item_id long, at int, sentence string, words int"))
+    many = every.groupBy("sentence").agg(F.countDistinct("item_id").alias("n")).filter(F.col("n") >= shared_by).select("sentence", F.lit(True).alias("shared"))
+    return cut(every.join(many, "sentence", "left").withColumn("shared", F.coalesce("shared", F.lit(False))))
+
+
+def leaked(docs: DataFrame, items: DataFrame, *, window: int = 20, errors: int = 2, shared_by: int = 5, block_words: int = 2_000_000) -> DataFrame:
     """(doc_id, item_id) for every document that carries ``window`` running words of an item.
 
-    Items are a stated query set: they are taken in blocks of about ``block``, of which the index is sent
-    to the tasks; every document is searched whole against every block, without a shuffle.
-    Null and empty texts carry nothing; items of fewer than ``window`` words (without the
-    sentences that ``shared_by`` items share) cannot be carried; repeated ids give one row.
+    Items are a stated query set: they are taken in blocks of about ``block_words`` words, of which the index is sent
+    to the tasks; every document is searched whole against every block, without a shuffle. Documents are
+    parsed once: with several blocks, their words are written first. Sentences are shared if ``shared_by`` items of all blocks have them.
+    Null and empty texts carry nothing; items of fewer than ``window`` words without their
+    shared sentences cannot be carried; repeated ids give one row.
     """
-    count = items.count()
-    blocks = max(1, math.ceil(count / block))
     spark = docs.sparkSession
+    marked = _marked_sentences(items, shared_by)
+    blocks = max(1, math.ceil((marked.agg(F.sum("words")).first()[0] or 0) / block_words))
     slim = docs.select("doc_id", "text", F.col("fmt") if "fmt" in docs.columns else F.lit(None).cast("string").alias("fmt"))
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "parts": [document_words(t if isinstance(t, str) else None, f) for t, f in zip(pdf["text"], pdf["fmt"])]})
+
+    parsed = cut(slim.mapInPandas(parse, "doc_id long, parts array<array<string>>")) if blocks > 1 else None
     out = None
     for b in range(blocks):
-        part = items.filter(F.col("item_id").isNotNull() & (F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)).select("item_id", "text").toPandas()
-        index = spark.sparkContext.broadcast(Index(item_words(part, shared_by), window, errors))
+        part = marked.filter(F.pmod(F.xxhash64("own"), F.lit(blocks)) == b).toPandas().sort_values(["own", "at"])
+        texts: dict[int, list[list[str]]] = defaultdict(list)
+        for (_, item), rows in part.groupby(["own", "item_id"]):
+            texts[int(item)] += runs_between(rows["sentence"].tolist(), set(rows["sentence"][rows["shared"]]))
+        index = spark.sparkContext.broadcast(Index(texts, window, errors))
 
-        def search(batches: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
+        def search(batches: Iterator[pd.DataFrame], index=index, whole=parsed is None) -> Iterator[pd.DataFrame]:
             own = index.value
             for pdf in batches:
-                rows = [(d, i) for d, t, f in zip(pdf["doc_id"], pdf["text"], pdf["fmt"]) if isinstance(t, str) for i in sorted(own.find(t, f))]
+                texts = (document_words(t if isinstance(t, str) else None, f) for t, f in zip(pdf["text"], pdf["fmt"])) if whole else ([p.tolist() for p in parts] for parts in pdf["parts"])
+                rows = [(d, i) for d, parts in zip(pdf["doc_id"], texts) for i in sorted(own.find(parts))]
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id"]).astype({"item_id": "int64"})
 
-        found = slim.mapInPandas(search, "doc_id long, item_id long")
+        found = (slim if parsed is None else parsed).mapInPandas(search, "doc_id long, item_id long")
         out = found if out is None else out.unionByName(found)
     return out.distinct()

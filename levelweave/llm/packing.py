@@ -9,7 +9,6 @@ packing all items at once is a few containers in each group of thousands.
 from __future__ import annotations
 
 import base64
-import importlib.util
 import math
 from collections.abc import Iterator
 from functools import lru_cache
@@ -24,35 +23,23 @@ from levelweave.plans.storage import cut
 TOKENIZERS = "/opt/tokenizers"
 
 
+# Fixed value: the published pattern that splits text before the merges of this vocabulary.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
 @lru_cache(maxsize=2)
 def encoding(folder: str, ranks: str = "byte_bpe_50k.tiktoken"):
     """A public byte-level BPE from its rank file; loaded once in each Python worker."""
     import tiktoken
 
-    spec = importlib.util.spec_from_file_location("public_tokenizers", f"{folder}/__init__.py")
-    public = importlib.util.module_from_spec(spec)
-    spec.loader.exec_module(public)
     with open(f"{folder}/{ranks}", "rb") as f:
         merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding(ranks, pat_str=public.PATTERN, mergeable_ranks=merges, special_tokens={})
-
-
-#: Characters handed to the tokenizer at once; longer texts are cut after a blank, where no token spans the cut.
-PIECE = 200_000
+    return tiktoken.Encoding(ranks, pat_str=PATTERN, mergeable_ranks=merges, special_tokens={})
 
 
 def count_tokens(text: str | None, enc) -> int:
-    if not text:
-        return 0
-    total, at = 0, 0
-    while at < len(text):
-        end = at + PIECE
-        if end < len(text):
-            blank = max(text.rfind(" ", at + 1, end), text.rfind("\n", at + 1, end))
-            end = blank if blank > at else end
-        total += len(enc.encode_ordinary(text[at:end]))
-        at = end
-    return total
+    """Tokens of the whole text, however long."""
+    return len(enc.encode_ordinary(text)) if text else 0
 
 
 def token_counts(text: Column, folder: str = TOKENIZERS) -> Column:
@@ -109,7 +96,11 @@ def pack(docs: DataFrame, *, capacity: int = 8192, group_items: int = 10_000, to
     items = sized.withColumn("pieces", pieces).select("doc_id", "total", "pieces", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"))
     items = cut(items.select("doc_id", "piece", "pieces", F.least(F.lit(capacity).cast("long"), F.col("total") - F.col("piece").cast("long") * capacity).alias("tokens")))
     groups = max(1, math.ceil(items.count() / group_items))
-    dealt = items.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id(), F.lit(seed)), F.lit(groups)).cast("int"))
+    same = items.groupBy("doc_id", "piece", "pieces", "tokens").agg(F.count(F.lit(1)).alias("n"))  # rows alike are dealt by number, so that no file layout matters
+    step = 100_000
+    many = same.withColumn("from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(step).cast("long"))))
+    each = many.withColumn("copy", F.explode(F.sequence("from", F.least(F.col("n"), F.col("from") + step) - 1))).drop("n", "from")
+    dealt = each.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece", "tokens", "copy", F.lit(seed)), F.lit(groups)).cast("int")).drop("copy")
 
     def packed(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["tokens", "doc_id", "piece"], ascending=[False, True, True], kind="stable").reset_index(drop=True)

@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from levelweave.llm.leakage import leaked
-from levelweave.llm.packing import container_fill, pack
+from levelweave.llm.packing import TOKENIZERS, container_fill, pack
 from levelweave.llm.toxicity import rates, score
 from levelweave.tables import table
 
 
-def p5_pack(spark: SparkSession, d: str) -> DataFrame:
-    return pack(table(spark, d, "documents"))
+def p5_pack(spark: SparkSession, d: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+    return pack(table(spark, d, "documents"), tokenizers=tokenizers)
 
 
-def p5_containers(spark: SparkSession, d: str) -> DataFrame:
-    return container_fill(pack(table(spark, d, "documents")))
+def p5_containers(spark: SparkSession, d: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+    return container_fill(pack(table(spark, d, "documents"), tokenizers=tokenizers))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

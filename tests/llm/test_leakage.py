@@ -2,11 +2,10 @@ import json
 import random
 
 import numpy as np
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from levelweave.llm.leakage import Index, distance_within, item_words, leaked
+from levelweave.llm.leakage import Index, distance_within, document_words, leaked, runs_between, sentences
 from levelweave.llm.text import plain_words, readable, unmarked
 
 WORDS = [f"w{i}" for i in range(400)]
@@ -67,7 +66,7 @@ def test_against_brute_force(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     it = spark.createDataFrame(items, "item_id long, text string")
     assert {tuple(r) for r in leaked(df, it).collect()} == want and len(want) > 40
-    assert {tuple(r) for r in leaked(df, it, block=4).collect()} == want  # items in blocks
+    assert {tuple(r) for r in leaked(df, it, block_words=200).collect()} == want  # items in blocks
 
 
 PASSAGE = "After nine days Merzan's brother repaired the old anchor and sailed north towards the café where Lumpra met a fiddler from Kivetal again"
@@ -95,17 +94,19 @@ DISGUISES = [
 
 @pytest.mark.parametrize("text", DISGUISES)
 def test_disguises(text):
-    index = Index(item_words(pd.DataFrame({"item_id": [1], "text": [PASSAGE]}), 5), 20, 2)
-    assert index.find(text, None) == {1}
+    index = Index({1: runs_between(sentences(PASSAGE), set())}, 20, 2)
+    assert index.find(document_words(text, None)) == {1}
 
 
-def test_shared_instructions_do_not_count():
+@pytest.mark.parametrize("block_words", [2_000_000, 120])
+def test_shared_instructions_do_not_count(spark, block_words):
+    """Nor where each of them stands in a block of its own."""
     lead = "Think about this step by step and give only one final number as the answer to what is asked below please."
     rnd = random.Random(1)
-    items = pd.DataFrame({"item_id": range(6), "text": [lead + " " + " ".join(rnd.choice(WORDS) for _ in range(30)) for _ in range(6)]})
-    index = Index(item_words(items, 5), 20, 2)
-    assert index.find("so " + lead, None) == set()
-    assert index.find(items["text"][3], None) == {3}
+    texts = [lead + " " + " ".join(rnd.choice(WORDS) for _ in range(30)) for _ in range(6)]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    docs = spark.createDataFrame([(1, "so " + lead), (2, texts[3])], "doc_id long, text string")
+    assert [tuple(r) for r in leaked(docs, items, block_words=block_words).collect()] == [(2, 3)]
 
 
 def test_cases(spark):

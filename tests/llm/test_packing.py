@@ -65,8 +65,15 @@ def test_empty(spark):
     assert pack(spark.createDataFrame([], DOCS)).count() == 0
 
 
-def test_long_text_in_pieces():
+def test_long_texts_are_counted_whole():
     enc = encoding("/opt/tokenizers")
-    text = "word and number 12345, " * 20_000
-    assert abs(count_tokens(text, enc) - len(enc.encode_ordinary(text))) <= 5
-    assert count_tokens("x" * 450_000, enc) > 0 and count_tokens(None, enc) == 0
+    for text in ("word and number 12345,  " * 20_000, "x" * 450_000, " " * 300_000, "ab\n\n " * 90_000):
+        assert count_tokens(text, enc) == len(enc.encode_ordinary(text))
+    assert count_tokens(None, enc) == 0
+
+
+def test_layout_of_files_does_not_matter(spark):
+    rows = [(i % 40 if i % 3 else None, "alpha beta " * (i % 17)) for i in range(400)]
+    df = spark.createDataFrame(rows, DOCS)
+    layouts = [sorted((tuple(r) for r in pack(df.repartition(n), capacity=50, group_items=60).collect()), key=repr) for n in (1, 7)]
+    assert layouts[0] == layouts[1] and len(layouts[0]) == 400
