@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,19 +26,21 @@ MAX_TASK_ROWS = 400_000
 def _bounds(rows: DataFrame, max_task_rows: int) -> tuple[DataFrame, int, int]:
     """(g, bounds) of the graphs that need cells, how many cells the largest has, and tasks for all rows.
 
-    At most ``rows / max_task_rows`` graphs are that large, and each has ``size / max_task_rows`` bounds.
+    At most ``rows / max_task_rows`` graphs are that large, and each has ``size / max_task_rows`` bounds; one
+    aggregate of approximate percentiles gives the bounds of all of them.
     """
     sizes = cut(rows.groupBy("g").agg(F.count(F.lit(1)).alias("size")))
-    total = sizes.agg(F.sum("size")).first()[0] or 0
-    large = [(r["g"], math.ceil(r["size"] / max_task_rows)) for r in sizes.filter(F.col("size") > max_task_rows).toLocalIterator()]
+    total, most = sizes.agg(F.sum("size"), F.max("size")).first()
+    total, cells = total or 0, math.ceil((most or 0) / max_task_rows)
     tasks = max(2, math.ceil(total / max_task_rows), min(total // 5000, rows.sparkSession.sparkContext.defaultParallelism))
-    if not large:
+    if cells <= 1:
         return rows.sparkSession.createDataFrame([], "g long, bounds array<long>"), 1, tasks
-    found = []
-    for g, cells in large:
-        at = rows.filter(F.col("g") == g).approxQuantile("node", [k / cells for k in range(1, cells)], 0.001)
-        found.append((g, sorted({int(x) for x in at})))
-    return rows.sparkSession.createDataFrame(found, "g long, bounds array<long>"), 1 + max(len(b) for _, b in found), tasks
+    large = sizes.filter(F.col("size") > max_task_rows).select("g", F.ceil(F.col("size") / max_task_rows).cast("int").alias("cells"))
+    steps = max(200, 4 * cells)
+    marks = rows.join(F.broadcast(large), "g").groupBy("g").agg(F.percentile_approx("node", [k / steps for k in range(1, steps)], 10 * steps).alias("marks"), F.first("cells").alias("cells"))
+    picked = F.transform(F.sequence(F.lit(1), F.col("cells") - 1), lambda k: F.element_at("marks", F.greatest(F.lit(1), F.round(k * steps / F.col("cells")).cast("int"))))
+    bounds = cut(marks.select("g", F.array_sort(F.array_distinct(picked)).cast("array<long>").alias("bounds")))
+    return bounds, 1 + bounds.agg(F.max(F.size("bounds"))).first()[0], tasks
 
 
 def _cell(node: str) -> Column:
@@ -97,40 +100,50 @@ def sweep(edges: DataFrame, nodes: DataFrame, step: Callable[[float, float, list
     if cells == 1:
         done = rows.repartition(tasks, "g").mapInPandas(solve, schema)
     else:
-        placed = cut(rows.join(F.broadcast(bounds), "g", "left").withColumn("cell", _cell("node")).drop("bounds"))
+        crosses = (F.col("src") >= 0) & (_cell("src") < _cell("node"))  # only such edges need values of earlier cells
+        placed = cut(rows.join(F.broadcast(bounds), "g", "left").withColumn("cell", _cell("node")).withColumn("crosses", crosses).drop("bounds"), ["cell"])
         done = None
         for k in range(cells):
             now = placed.filter(F.col("cell") == k).drop("cell")
             if done is not None:
                 before = done.select("g", F.col("node").alias("src"), F.col("value").alias("known"))
-                now = now.join(before, ["g", "src"], "left").select("g", "node", "src", F.coalesce("x", "known").alias("x"), "w")
+                far = skew_join(now.filter("crosses"), before, ["g", "src"], "left").select("g", "node", "src", F.coalesce("x", "known").alias("x"), "w")
+                now = now.filter("not crosses").select("g", "node", "src", "x", "w").unionByName(far)
+            else:
+                now = now.drop("crosses")
             solved = cut(now.repartition(tasks, "g").mapInPandas(solve, schema))
             done = solved if done is None else done.unionByName(solved)
     return done.select(F.col("g").alias("graph_id"), "node", "value")
 
 
+def least_of(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The least position of its component for each of n positions, from links (a, b): hook to the lesser label, then jump."""
+    label = np.arange(n)
+    while True:
+        x, y = label[a], label[b]
+        apart = x != y
+        if not apart.any():
+            return label
+        x, y = x[apart], y[apart]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while True:
+            up = label[label]
+            if (up == label).all():
+                break
+            label = up
+
+
 def _united(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Least node of its component for every node that the links of a task name."""
     kept = [b for b in batches if len(b)]
     if not kept:
         return
     pdf = pd.concat(kept, ignore_index=True)
-    label: dict[tuple[int, int, int], tuple[int, int, int]] = {}
-
-    def find(v: tuple[int, int, int]) -> tuple[int, int, int]:
-        root = v
-        while (up := label.setdefault(root, root)) != root:
-            root = up
-        while label[v] != root:
-            label[v], v = root, label[v]
-        return root
-
-    for g, k, a, b in zip(pdf["g"].tolist(), pdf["k"].tolist(), pdf["node"].tolist(), pdf["other"].tolist()):
-        x, y = find((g, k, a)), find((g, k, b))
-        if x != y:
-            label[max(x, y)] = min(x, y)
-    rows = [(*v, find(v)[2]) for v in label]
-    yield pd.DataFrame(rows, columns=["g", "k", "node", "label"]).astype("int64")
+    ends = pd.concat([pdf[["g", "k", "node"]], pdf[["g", "k", "other"]].rename(columns={"other": "node"})], ignore_index=True)
+    names = ends.drop_duplicates().sort_values(["g", "k", "node"], ignore_index=True)
+    codes = ends.merge(names.assign(code=np.arange(len(names))), on=["g", "k", "node"], how="left")["code"].to_numpy()
+    label = least_of(codes[: len(pdf)], codes[len(pdf) :], len(names))
+    yield names.assign(label=names["node"].to_numpy()[label]).astype("int64")
 
 
 def components(edges: DataFrame, nodes: DataFrame, within: str | None = None, max_task_rows: int = MAX_TASK_ROWS) -> DataFrame:

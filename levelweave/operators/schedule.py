@@ -11,6 +11,8 @@ from pyspark.sql import Window as W
 
 from levelweave.operators.cells import components
 from levelweave.operators.levels import histogram
+from levelweave.plans.running import running_sums
+from levelweave.plans.skew import skew_join
 from levelweave.plans.storage import cut
 
 #: Divergence below which a window of levels still counts as balanced.
@@ -229,21 +231,26 @@ class _Window:
 
 
 def merge_windows(pdf: pd.DataFrame, cores: int) -> pd.DataFrame:
-    """Windows and parts of one graph: a window takes on the next level while its divergence, summed over the tries, stays small."""
+    """Windows and parts of one graph's levels, as far as they are given: a window takes on the next level while its divergence, summed over the tries, stays small.
+
+    ``pdf`` has level, node, cost, src (null in a node's own row) and ``more``, whether later levels follow. A window that
+    nothing has closed is then left open: its rows come back as they are, with no ``window``.
+    """
     own = pdf[pdf["src"].isna()].sort_values(["level", "node"])
     at = dict(zip(own["node"], range(len(own))))
     level, cost, node = own["level"].tolist(), own["cost"].tolist(), own["node"].tolist()
     into: list[list[int]] = [[] for _ in node]
     links = pdf[pdf["src"].notna()]
     for s, t in zip(links["src"].astype("int64"), links["node"]):
-        into[at[t]].append(at[s])
+        if s in at:  # else its window is closed
+            into[at[t]].append(at[s])
     first = [0]
     for k in range(1, len(node)):
         if level[k] != level[k - 1]:
             first.append(k)
     first.append(len(node))
     window, part = [0] * len(node), [0] * len(node)
-    lb, w, height = 0, 0, len(first) - 1
+    lb, height, more = 0, len(first) - 1, bool(pdf["more"].iloc[0])
     while lb < height:
         grown = _Window(into, cost, first[lb])
         ub, drift, accepted, eff = lb, 0.0, lb + 1, cores
@@ -259,30 +266,58 @@ def merge_windows(pdf: pd.DataFrame, cores: int) -> pd.DataFrame:
                 break
             ub += 1
             accepted = ub
+        if ub == height and more:
+            break
         final = _Window(into, cost, first[lb])
         final.take(range(first[lb], first[accepted]))
         core = dict(zip(sorted(final.sums), _chunks(final.costs(), cores)[0]))
         for v in range(first[lb], first[accepted]):
-            window[v], part[v] = w, core[final.find(v)]
-        lb, w = accepted, w + 1
-    return pd.DataFrame({"graph_id": int(pdf["graph_id"].iloc[0]), "level": window, "part": part, "node_level": level, "node": node})
-
-
-def hybrid(edges: DataFrame, levels: DataFrame, costs: DataFrame, cores: int = 8, max_graph_rows: int = 500_000) -> DataFrame:
-    """Hybrid aggregation: windows grow while their components spread evenly over ``cores``.
-
-    The rule walks the levels of a graph in order, graph by graph; graphs of more than
-    ``max_graph_rows`` edges and nodes are cut by ``coarsened`` instead, whose windows need no walk.
+            window[v], part[v] = level[first[lb]], core[final.find(v)]
+        lb = accepted
+    closed = first[lb] if lb < height else len(node)
+    done = pd.DataFrame({"graph_id": pdf["graph_id"].iloc[0], "window": window[:closed], "part": part[:closed], "level": level[:closed], "node": node[:closed], "cost": cost[:closed], "src": None})
+    if closed < len(node):
+        left = pdf[pdf["level"] >= level[closed]]
+        done = pd.concat([done, left[["graph_id", "level", "node", "cost", "src"]].assign(window=None, part=None)])
+    return done.astype({"window": "Int64", "part": "Int64", "src": "Int64", "level": "int64", "node": "int64", "cost": "float64", "graph_id": "int64"})
+
+
+def hybrid(edges: DataFrame, levels: DataFrame, costs: DataFrame, cores: int = 8, max_task_rows: int = 500_000) -> DataFrame:
+    """Windows that grow while their components spread evenly over ``cores``: (graph_id, level, part, node_level, node).
+
+    The rule walks the levels of a graph in order. Graphs go whole, many to a stage; one of more than ``max_task_rows``
+    nodes and edges is walked in ranges of levels of about that size, the window still open at the end
+    of a range going on into the next. The result does not depend on the bound; a task holds a range and that window.
     """
     own = levels.join(costs, ["graph_id", "node"], "left").select("graph_id", "node", "level", F.coalesce("cost", F.lit(1.0)).alias("cost"), F.lit(None).cast("long").alias("src"))
-    into = edges.select("graph_id", F.col("dst").alias("node"), F.lit(0).alias("level"), F.lit(0.0).alias("cost"), "src")
+    of = levels.select("graph_id", F.col("node").alias("dst"), "level")
+    into = skew_join(edges.select("graph_id", "src", "dst"), of, ["graph_id", "dst"]).select("graph_id", F.col("dst").alias("node"), "level", F.lit(0.0).alias("cost"), "src")
     rows = cut(own.unionByName(into))
-    large = rows.groupBy("graph_id").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > max_graph_rows).select("graph_id")  # at most rows / max_graph_rows
-    schema = "graph_id long, level int, part int, node_level int, node long"
-    walked = rows.join(F.broadcast(large), "graph_id", "left_anti").groupBy("graph_id").applyInPandas(lambda pdf: merge_windows(pdf, cores), schema)
-    if large.isEmpty():
-        return walked
-    return walked.unionByName(coarsened(edges.join(F.broadcast(large), "graph_id", "left_semi"), levels.join(F.broadcast(large), "graph_id", "left_semi"), costs, cores))
+    sizes = rows.groupBy("graph_id", "level").agg(F.count(F.lit(1)).alias("size"))
+    w = W.partitionBy("graph_id")
+    ranged = sizes.withColumn("range", F.floor((F.sum("size").over(w.orderBy("level")) - F.col("size")) / max_task_rows).cast("int"))
+    ranged = cut(ranged.withColumn("last", F.max("range").over(w)).select("graph_id", "level", "range", "last"))  # a row for each level
+    ranges = (ranged.agg(F.max("range")).first()[0] or 0) + 1
+    placed = rows.join(ranged, ["graph_id", "level"])
+    if ranges > 1:
+        placed = cut(placed, ["range"])
+    schema = "graph_id long, window long, part long, level long, node long, cost double, src long"
+    names = ["graph_id", "level", "node", "cost", "src", "last"]
+    out, open_rows = None, None
+    lasts = ranged.groupBy("graph_id").agg(F.max("last").alias("last"))
+    for k in range(ranges):
+        now = placed.filter(F.col("range") == k).select(*names)
+        if open_rows is not None:
+            now = now.unionByName(open_rows.join(lasts, "graph_id").select(*names))
+        walked = now.withColumn("more", F.col("last") > k).groupBy("graph_id").applyInPandas(lambda pdf: merge_windows(pdf, cores), schema)
+        if ranges > 1:
+            walked = cut(walked)
+        closed = walked.filter("window is not null and src is null")
+        out = closed if out is None else out.unionByName(closed)
+        open_rows = walked.filter("window is null")
+    out = out if ranges > 1 else cut(out)
+    numbers = out.select("graph_id", "window").distinct().withColumn("number", F.row_number().over(w.orderBy("window")) - 1)
+    return out.join(numbers, ["graph_id", "window"]).select("graph_id", F.col("number").cast("int").alias("level"), F.col("part").cast("int").alias("part"), F.col("level").cast("int").alias("node_level"), "node")
 
 
 def ungrouped(schedule: DataFrame, groups: DataFrame) -> DataFrame:
@@ -309,6 +344,22 @@ def violations(schedule: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataF
     return cover.unionByName(broken.select("graph_id", F.lit("order").alias("kind"), F.col("src").alias("node"), F.col("dst").alias("other")))
 
 
+def checked(schedule: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Per graph its nodes, its edges, the nodes that ``schedule`` runs, and the number of ``violations``."""
+    n = nodes.groupBy("graph_id").agg(F.count(F.lit(1)).alias("nodes"))
+    m = edges.groupBy("graph_id").agg(F.count(F.lit(1)).alias("edges"))
+    run = schedule.groupBy("graph_id").agg(F.countDistinct("node").alias("scheduled"))
+    bad = violations(schedule, edges, nodes).groupBy("graph_id").agg(F.count(F.lit(1)).alias("violations"))
+    joined = n.join(m, "graph_id", "left").join(run, "graph_id", "full").join(bad, "graph_id", "full")
+    return joined.select("graph_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("nodes", "edges", "scheduled", "violations")])
+
+
+def run_order(schedule: DataFrame) -> DataFrame:
+    """(graph_id, node, place): the place, from 0, at which a schedule runs each node: by level, part, level in the part, number."""
+    placed = running_sums(schedule.select("graph_id", "level", "part", "node_level", "node", F.lit(1).cast("long").alias("one")), ["graph_id"], ["level", "part", "node_level", "node"], "one")
+    return placed.select("graph_id", "node", (F.col("running") - 1).alias("place"))
+
+
 def kernel_costs(entries: DataFrame) -> DataFrame:
     """(graph_id, node, ...): cost of a node by kernel: its row or column entries, or those summed over its row or column."""
     m = entries.select("graph_id", "row", "col")

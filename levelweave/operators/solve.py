@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from levelweave.operators.cells import components, substitute, sweep
+from levelweave.operators.schedule import run_order
+from levelweave.plans.skew import skew_join
+from levelweave.plans.storage import cut
 
 
 def solve_lower(entries: DataFrame, rhs: DataFrame, **bounds: int) -> DataFrame:
@@ -24,6 +27,21 @@ def solve_lower(entries: DataFrame, rhs: DataFrame, **bounds: int) -> DataFrame:
     return sweep(off, nodes, substitute, **bounds)
 
 
+def solve_scheduled(entries: DataFrame, rhs: DataFrame, schedule: DataFrame, **bounds: int) -> DataFrame:
+    """(graph_id, node, value): ``solve_lower`` with the nodes run in the order of ``schedule``, level after level, part after part.
+
+    Nodes are named by their place in the schedule, and the matrix is permuted so; a node that would run before
+    one it depends on has an entry above the diagonal then, and gets a null value.
+    """
+    order = cut(run_order(schedule))
+    place = lambda c: order.select("graph_id", F.col("node").alias(c), F.col("place").alias(f"{c}_at"))
+    moved = cut(skew_join(skew_join(entries, place("row"), ["graph_id", "row"]), place("col"), ["graph_id", "col"]).select("graph_id", F.col("row_at").alias("row"), F.col("col_at").alias("col"), "val"))
+    b = rhs.join(order, ["graph_id", "node"]).select("graph_id", F.col("place").alias("node"), "b")
+    early = moved.filter("row < col").select("graph_id", F.col("row").alias("place"), F.lit(True).alias("early")).distinct()
+    x = solve_lower(moved, b, **bounds).withColumnRenamed("node", "place").join(early, ["graph_id", "place"], "left")
+    return x.join(order, ["graph_id", "place"]).select("graph_id", "node", F.when(F.col("early").isNull(), F.col("value")).alias("value"))
+
+
 def product(entries: DataFrame, x: DataFrame) -> DataFrame:
     """(graph_id, node, value): L x."""
     v = x.select("graph_id", F.col("node").alias("col"), "value")

@@ -431,13 +431,13 @@ def coarsened_schedule(spark: SparkSession, d: str) -> DataFrame:
     return _coarsened(spark, d)[2]
 
 
-_NONE = "SELECT CAST(NULL AS BIGINT) AS graph_id, CAST(NULL AS VARCHAR) AS kind, CAST(NULL AS BIGINT) AS node, CAST(NULL AS BIGINT) AS other WHERE false"
+_VALID = f"WITH {_E}, {_V}, n AS (SELECT graph_id, count(*) AS nodes FROM v GROUP BY 1), m AS (SELECT graph_id, count(*) AS edges FROM e GROUP BY 1) SELECT n.graph_id, nodes, coalesce(edges, 0) AS edges, nodes AS scheduled, 0 AS violations FROM n LEFT JOIN m ON m.graph_id = n.graph_id"
 
 
-@query(_NONE)
+@query(_VALID)
 def coarsened_violations(spark: SparkSession, d: str) -> DataFrame:
     e, v, s = _coarsened(spark, d)
-    return schedule.violations(s, e, v)
+    return schedule.checked(s, e, v)
 
 
 def _hybrid(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -457,10 +457,10 @@ def hybrid_schedule(spark: SparkSession, d: str) -> DataFrame:
     return _hybrid(spark, d)[2]
 
 
-@query(_NONE)
+@query(_VALID)
 def hybrid_violations(spark: SparkSession, d: str) -> DataFrame:
     e, v, s = _hybrid(spark, d)
-    return schedule.violations(s, e, v)
+    return schedule.checked(s, e, v)
 
 
 def _fixed_windows(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -523,12 +523,29 @@ def weighted_partition(spark: SparkSession, d: str) -> DataFrame:
  SELECT graph_id, node, round(sum(x), 7) AS x FROM w GROUP BY 1, 2""")
 def triangular_solve(spark: SparkSession, d: str) -> DataFrame:
     """Forward substitution with unit off-diagonals -1 and diagonal 1.3 + in-degree."""
-    e, v = _graph(spark, d)
+    lower, b = _system(*_graph(spark, d))
+    return solve.solve_lower(lower, b).select("graph_id", "node", F.round("value", 7).alias("x"))
+
+
+@query(SQL["triangular_solve"])
+def scheduled_solve(spark: SparkSession, d: str) -> DataFrame:
+    """The same system, run along the levels and parts of a load-balanced schedule."""
+    e, v, s = _coarsened(spark, d)
+    return solve.solve_scheduled(*_system(e, v), s).select("graph_id", "node", F.round("value", 7).alias("x"))
+
+
+@query(SQL["triangular_solve"])
+def grouped_solve(spark: SparkSession, d: str) -> DataFrame:
+    """The same system, run along the schedule of its supernodes."""
+    e, v, g, s = _block_plan(spark, d)
+    return solve.solve_scheduled(*_system(e, v), schedule.ungrouped(s, g)).select("graph_id", "node", F.round("value", 7).alias("x"))
+
+
+def _system(e: DataFrame, v: DataFrame) -> tuple[DataFrame, DataFrame]:
     ins = e.groupBy("graph_id", F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("n"))
     diag = v.join(ins, ["graph_id", "node"], "left").select("graph_id", F.col("node").alias("row"), F.col("node").alias("col"), (1.3 + F.coalesce("n", F.lit(0))).alias("val"))
     lower = e.select("graph_id", F.col("dst").alias("row"), F.col("src").alias("col"), F.lit(-1.0).alias("val")).unionByName(diag)
-    x = solve.solve_lower(lower, v.select("graph_id", "node", (F.col("node") % 7).alias("b")))
-    return x.select("graph_id", "node", F.round("value", 7).alias("x"))
+    return lower, v.select("graph_id", "node", (F.col("node") % 7).alias("b"))
 
 
 @query(f'WITH {_M}, s AS (SELECT graph_id, count(DISTINCT col) AS n, count(*) AS nnz, count(*) FILTER ("row" = col + 1) AS reuse FROM m GROUP BY 1) SELECT graph_id, n, nnz, 2 * (nnz - n) + n AS flops, 3 * (nnz - n) + 2 * n AS accesses, reuse, round(nnz / n, 6) AS nnz_per_row FROM s')
@@ -610,10 +627,10 @@ def tree_schedule(spark: SparkSession, d: str) -> DataFrame:
     return _tree_plan(spark, d)[2]
 
 
-@query(_NONE)
+@query(f"WITH RECURSIVE {_TREE} SELECT graph_id, count(*) AS nodes, count(parent) AS edges, count(*) AS scheduled, 0 AS violations FROM r GROUP BY 1")
 def tree_schedule_violations(spark: SparkSession, d: str) -> DataFrame:
     up, v, s = _tree_plan(spark, d)
-    return schedule.violations(s, up, v)
+    return schedule.checked(s, up, v)
 
 
 def _block_plan(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -631,10 +648,10 @@ def block_schedule(spark: SparkSession, d: str) -> DataFrame:
     return _block_plan(spark, d)[3]
 
 
-@query(_NONE)
+@query(_VALID)
 def block_schedule_violations(spark: SparkSession, d: str) -> DataFrame:
     e, v, g, s = _block_plan(spark, d)
-    return schedule.violations(schedule.ungrouped(s, g), e, v)
+    return schedule.checked(schedule.ungrouped(s, g), e, v)
 
 
 @query("""WITH r AS (SELECT fname, t_serial AS t FROM (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY ingest_ts DESC) AS rn FROM metrics) WHERE rn = 1 AND t_serial IS NOT NULL AND NOT isnan(t_serial)), o AS (SELECT *, row_number() OVER (PARTITION BY fname ORDER BY t) - 1 AS k, count(*) OVER (PARTITION BY fname) AS n FROM r) SELECT fname, t AS middle, n AS runs FROM o WHERE k = n // 2""")

@@ -35,6 +35,8 @@ def read_header(spark: SparkSession, path: str) -> dict[str, object]:
 def read_mtx(spark: SparkSession, path: str, graph_id: int, check: bool = True) -> DataFrame:
     """(graph_id, row, col, val), 0-based, of a coordinate file; pattern entries are 1.0, unsorted and empty columns are fine.
 
+    Of a symmetric matrix the triangle in the file is read; ``algebra.full`` gives both. Skew-symmetric and hermitian files raise FormatError.
+
     ``check`` counts entries, and raises EntriesError if lines are broken or too few or many.
     """
     h = read_header(spark, path)
@@ -42,6 +44,8 @@ def read_mtx(spark: SparkSession, path: str, graph_id: int, check: bool = True)
         raise FormatError(path, "complex values")
     if h["format"] != "coordinate":
         raise FormatError(path, "an array file: use read_array")
+    if h["symmetry"] not in ("general", "symmetric"):
+        raise FormatError(path, f"{h['symmetry']} matrices")
     text = spark.read.text(path).withColumn("at", F.monotonically_increasing_id()).filter(~F.col("value").startswith("%") & (F.trim("value") != ""))
     size = f"{h['m']} {h['n']} {h['nnz']}"
     first = text.filter(F.regexp_replace(F.trim("value"), r"\s+", " ") == size).agg(F.min("at").alias("first"))
@@ -76,17 +80,22 @@ def _before():
 
 
 def _line(row: Column, col: Column, val: Column) -> Column:
-    return F.concat_ws(" ", (row + 1).cast("string"), (col + 1).cast("string"), val.cast("string"))
+    return F.concat_ws(" ", (row + 1).cast("string"), (col + 1).cast("string"), F.coalesce(val.cast("string"), F.lit("NaN")))
 
 
 def entry_lines(entries: DataFrame) -> DataFrame:
-    """(graph_id, line): 1-based coordinate lines in full precision, so that reading them gives the same values."""
+    """(graph_id, line): 1-based coordinate lines in full precision, so that reading them gives the same values; NaN stands for a null."""
     return entries.select("graph_id", _line(F.col("row"), F.col("col"), F.col("val")).alias("line"))
 
 
 def write_mtx(entries: DataFrame, path: str, m: int, n: int, symmetry: str = "general") -> None:
-    """One matrix as a folder of text parts: a header part first, then the entries sorted by column."""
+    """One matrix as a folder of text parts: a header part first, then the entries sorted by column.
+
+    A file holds finite values only: a null, NaN or infinite one raises EntriesError.
+    """
     spark = entries.sparkSession
+    if not entries.filter(F.col("val").isNull() | F.isnan("val") | (F.abs("val") == float("inf"))).isEmpty():
+        raise EntriesError(path, "a value is null, NaN or infinite")
     head = spark.createDataFrame([(0, 0, f"%%MatrixMarket matrix coordinate real {symmetry}"), (0, 1, f"{m} {n} {entries.count()}")], "part int, at long, line string")
     body = entries.select(F.lit(1).alias("part"), "col", "row", _line(F.col("row"), F.col("col"), F.col("val")).alias("line"))
     ordered = head.select("part", F.lit(-1).cast("long").alias("col"), F.col("at").alias("row"), "line").unionByName(body.select("part", F.col("col").cast("long"), F.col("row").cast("long"), "line"))

@@ -144,7 +144,7 @@ def test_schedules_are_valid_and_mutations_are_found(spark, seed):
     ed, vd = spark.createDataFrame(e, E), spark.createDataFrame(v, V)
     cost = spark.createDataFrame([(1, k, float(1 + k % 5)) for _, k in v], "graph_id long, node long, cost double")
     lev = levels.level_sets(ed, vd)
-    for s in (schedule.coarsened(ed, lev, cost, bins=3, first=2, every=2), schedule.hybrid(ed, lev, cost, cores=3), schedule.hybrid(ed, lev, cost, cores=3, max_graph_rows=10)):
+    for s in (schedule.coarsened(ed, lev, cost, bins=3, first=2, every=2), schedule.hybrid(ed, lev, cost, cores=3), schedule.hybrid(ed, lev, cost, cores=3, max_task_rows=10)):
         s = s.cache()
         assert schedule.violations(s, ed, vd).count() == 0
         assert s.agg(F.max("part")).first()[0] < 3
@@ -155,6 +155,30 @@ def test_schedules_are_valid_and_mutations_are_found(spark, seed):
         assert m["cost"] == sum(1 + k % 5 for _, k in v) and m["critical_path"] <= m["cost"]
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_hybrid_is_the_same_at_every_bound(spark, seed):
+    e, v = dag(seed + 40, 80, 130)
+    ed, vd = spark.createDataFrame(e, E), spark.createDataFrame(v, V)
+    cost = spark.createDataFrame([(1, k, float(1 + k % 5)) for _, k in v], "graph_id long, node long, cost double")
+    lev = levels.level_sets(ed, vd)
+    whole, ranged = (sorted(map(tuple, schedule.hybrid(ed, lev, cost, cores=3, max_task_rows=n).collect())) for n in (500_000, 25))
+    assert whole == ranged and len(whole) == 80
+
+
+def test_scheduled_solve_follows_the_schedule(spark):
+    e, v = dag(50, 40, 70)
+    ed, vd = spark.createDataFrame(e, E), spark.createDataFrame(v, V)
+    m = spark.createDataFrame([(1, d, s, -1.0) for _, s, d in e] + [(1, k, k, 2.0) for _, k in v], "graph_id long, row long, col long, val double")
+    b = vd.withColumn("b", F.col("node") % 7)
+    plan = schedule.coarsened(ed, levels.level_sets(ed, vd), bins=3, first=2, every=2).cache()
+    want = {r["node"]: r["value"] for r in solve.solve_lower(m, b).collect()}
+    for bound in (400_000, 30):
+        got = {r["node"]: r["value"] for r in solve.solve_scheduled(m, b, plan, max_task_rows=bound).collect()}
+        assert got == pytest.approx(want)
+    early = plan.withColumn("level", F.when(F.col("node") == e[0][2], -1).otherwise(F.col("level")))
+    assert [r["node"] for r in solve.solve_scheduled(m, b, early).filter("value is null").collect()] == [e[0][2]]
+
+
 def test_worst_fit(spark):
     rnd = random.Random(8)
     costs = [float(rnd.randrange(1, 9)) for _ in range(40)]

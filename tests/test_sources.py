@@ -28,6 +28,18 @@ def test_errors(spark, tmp_path):
             matrix_market.read_mtx(spark, write(tmp_path / "x.mtx", text), 1).count()
 
 
+def test_bounds_and_kinds(spark, tmp_path):
+    at = write(tmp_path / "w.mtx", HEAD.format("real", "general") + "2 5 2\n2 5 1\n1 4 2\n")
+    assert {tuple(r)[1:3] for r in matrix_market.read_mtx(spark, at, 1).collect()} == {(1, 4), (0, 3)}
+    for text, error in ((HEAD.format("real", "general") + "2 5 1\n5 1 1\n", EntriesError), (HEAD.format("real", "skew-symmetric") + "2 2 1\n2 1 1\n", FormatError), (HEAD.format("real", "hermitian") + "2 2 1\n2 1 1\n", FormatError)):
+        with pytest.raises(error):
+            matrix_market.read_mtx(spark, write(tmp_path / "x.mtx", text), 1).count()
+    odd = spark.createDataFrame([(1, 0, 0, None)], "graph_id long, row long, col long, val double")
+    assert [r["line"] for r in matrix_market.entry_lines(odd).collect()] == ["1 1 NaN"]
+    with pytest.raises(EntriesError):
+        matrix_market.write_mtx(odd, str(tmp_path / "odd"), 1, 1)
+
+
 def test_round_trip(spark, tmp_path):
     rows = [(1, i, j, 1 / (i + j + 1)) for i in range(20) for j in range(i + 1)]
     m = spark.createDataFrame(rows, "graph_id long, row long, col long, val double")
