@@ -183,6 +183,39 @@ def compressed_columns(spark: SparkSession, d: str) -> DataFrame:
     return algebra.compressed(_entries(spark, d)).withColumn("p", F.array_join(F.col("p").cast("array<string>"), ","))
 
 
+@query(f"""WITH {_M}, f AS (SELECT * FROM m UNION ALL SELECT graph_id, col, "row", val FROM m WHERE "row" <> col) SELECT graph_id, "row", col, val FROM f WHERE "row" <= col""")
+def matrix_upper_half(spark: SparkSession, d: str) -> DataFrame:
+    return algebra.upper_half(algebra.full(_entries(spark, d)))
+
+
+@query(f'WITH {_M} SELECT graph_id, "row" + 1 AS "row", col + 1 AS col, val FROM m')
+def matrix_one_based(spark: SparkSession, d: str) -> DataFrame:
+    return algebra.one_based(_entries(spark, d))
+
+
+@query(f'WITH {_M} SELECT * FROM m WHERE val <> 0')
+def matrix_non_zeros(spark: SparkSession, d: str) -> DataFrame:
+    return algebra.non_zeros(_entries(spark, d))
+
+
+@query(f'WITH {_M} SELECT graph_id, min(CASE WHEN "row" = col AND val IS NOT NULL THEN 1 ELSE 0 END) = 1 AS equal FROM m GROUP BY 1')
+def matrix_symmetric(spark: SparkSession, d: str) -> DataFrame:
+    """A lower triangle equals its transpose only if it is a diagonal whose values are all there."""
+    m = _entries(spark, d)
+    return algebra.is_equal(m, algebra.transpose(m))
+
+
+@query(f'WITH {_M}, {_V} SELECT * FROM m UNION ALL SELECT graph_id, node, node, 1.0 FROM v WHERE (graph_id, node) NOT IN (SELECT graph_id, col FROM m WHERE "row" = col)')
+def matrix_with_diagonals(spark: SparkSession, d: str) -> DataFrame:
+    return algebra.with_diagonals(_entries(spark, d), nodes(table(spark, d, "matrix")), 1.0)
+
+
+@query(f'WITH {_M} SELECT * FROM m WHERE val <> 0')
+def supernode_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Entries packed into padded blocks of supernodes and unpacked again."""
+    return grouping.unpadded(grouping.padded_blocks(_entries(spark, d), cut(grouping.supernodes(*_graph(spark, d)))))
+
+
 # --- level sets
 
 
@@ -246,6 +279,13 @@ def tree_post_order(spark: SparkSession, d: str) -> DataFrame:
     return trees.post_order(_tree(spark, d))
 
 
+@query("WITH RECURSIVE p AS (" + SQL["tree_post_order"].removeprefix("WITH RECURSIVE ").join(["WITH RECURSIVE ", ")"]) + f", {_TREE} SELECT r.graph_id, a.post AS node, b.post AS parent FROM r JOIN p a ON a.graph_id = r.graph_id AND a.node = r.node LEFT JOIN p b ON b.graph_id = r.graph_id AND b.node = r.parent")
+def tree_relabelled(spark: SparkSession, d: str) -> DataFrame:
+    """The tree with its nodes named by their place in the post order."""
+    t = _tree(spark, d)
+    return trees.relabelled(t, cut(trees.post_order(t)))
+
+
 @query()
 def elimination_tree(spark: SparkSession, d: str) -> DataFrame:
     return trees.elimination_tree(*_graph(spark, d))
@@ -654,6 +694,12 @@ def block_schedule_violations(spark: SparkSession, d: str) -> DataFrame:
     return schedule.checked(schedule.ungrouped(s, g), e, v)
 
 
+@query("SELECT record_id, ingest_ts, CASE WHEN t_serial > t_level THEN t_group_level / (t_serial - t_level) END AS runs FROM metrics")
+def profitable_runs(spark: SparkSession, d: str) -> DataFrame:
+    """After how many runs the parallel solve has saved what the grouping took."""
+    return table(spark, d, "metrics").select("record_id", "ingest_ts", metrics.profitable(F.col("t_group_level"), F.col("t_serial"), F.col("t_level")).alias("runs"))
+
+
 @query("""WITH r AS (SELECT fname, t_serial AS t FROM (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY ingest_ts DESC) AS rn FROM metrics) WHERE rn = 1 AND t_serial IS NOT NULL AND NOT isnan(t_serial)), o AS (SELECT *, row_number() OVER (PARTITION BY fname ORDER BY t) - 1 AS k, count(*) OVER (PARTITION BY fname) AS n FROM r) SELECT fname, t AS middle, n AS runs FROM o WHERE k = n // 2""")
 def middle_times(spark: SparkSession, d: str) -> DataFrame:
     from levelweave.functions.quantiles import latest
