@@ -45,34 +45,76 @@ def relabelled(tree: DataFrame, order: DataFrame) -> DataFrame:
 
 
 def _parents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Parents that the rows of a task give, in order, to their own nodes and to the tops of earlier trees, and the top of each after that."""
     kept = [b for b in batches if len(b)]
     if not kept:
         return
     pdf = pd.concat(kept, ignore_index=True).sort_values(["g", "dst", "src"])
     parent: dict[tuple[int, int], int | None] = {}
     above: dict[tuple[int, int], int] = {}
+    fresh: set[tuple[int, int]] = set()
     for g, i, k in zip(pdf["g"].tolist(), pdf["dst"].tolist(), pdf["src"].tolist()):
         parent.setdefault((g, i), None)
+        fresh.add((g, i))
         while k != i:  # climb from column k to the top known so far, and hang that below row i
             nxt = above.get((g, k), i)
             above[g, k] = i
             if nxt == i and parent.get((g, k)) is None:
                 parent[g, k] = i
             k = nxt
-    rows = [(g, v, p) for (g, v), p in parent.items()]
-    yield pd.DataFrame({"g": [r[0] for r in rows], "node": [r[1] for r in rows], "parent": pd.array([r[2] for r in rows], dtype="Int64")})
+    tops: dict[tuple[int, int], int] = {}
+    for g, v in sorted(parent, reverse=True):  # an ancestor has a higher number
+        tops[g, v] = tops[g, above[g, v]] if (g, v) in above else v
+    rows = [(g, v, p, tops[g, v], (g, v) in fresh) for (g, v), p in parent.items()]
+    yield pd.DataFrame({"g": [r[0] for r in rows], "node": [r[1] for r in rows], "parent": pd.array([r[2] for r in rows], dtype="Int64"), "top": [r[3] for r in rows], "fresh": [r[4] for r in rows]})
 
 
-def elimination_tree(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+_FOUND = "g long, node long, parent long, top long, fresh boolean"
+
+
+def _by_ranges(work: DataFrame, max_task_rows: int) -> DataFrame:
+    """(g, node, parent) of components that are larger than a task: their rows in ranges, one after another.
+
+    Of the trees of earlier ranges a range needs only the top above each column it names, so columns are replaced
+    by these tops first; afterwards every earlier node's top is looked up once more.
+    """
+    sizes = work.groupBy("g", "component", "dst").agg(F.count(F.lit(1)).alias("n"))
+    ranged = running_sums(sizes, ["g", "component"], ["dst"], "n").select("g", "dst", F.floor((F.col("running") - F.col("n")) / max_task_rows).cast("int").alias("range"))
+    placed = cut(skew_join(work, ranged, ["g", "dst"]), ["range"])
+    last = placed.agg(F.max("range")).first()[0]
+    parents, tops = None, None
+    for k in range(last + 1):
+        now = placed.filter(F.col("range") == k).select("g", "component", "dst", "src")
+        if tops is not None:
+            known = tops.select("g", F.col("node").alias("src"), "top")
+            now = skew_join(now, known, ["g", "src"], "left").select("g", "component", "dst", F.coalesce("top", "src").alias("src"))
+        found = cut(now.repartition("g", "component").select("g", "dst", "src").mapInPandas(_parents, _FOUND))
+        given = found.filter("parent is not null").select("g", "node", "parent")
+        parents = given if parents is None else parents.unionByName(given)
+        own = found.filter("fresh").select("g", "node", "top")
+        if tops is not None:
+            moved = found.filter("not fresh").select("g", F.col("node").alias("top"), F.col("top").alias("far"))
+            own = own.unionByName(skew_join(tops, moved, ["g", "top"], "left").select("g", "node", F.coalesce("far", "top").alias("top")))
+        tops = cut(own)
+    return tops.select("g", "node").join(parents, ["g", "node"], "left")
+
+
+def elimination_tree(edges: DataFrame, nodes: DataFrame, max_task_rows: int = 400_000) -> DataFrame:
     """(graph_id, node, parent) of the symmetric matrix with this lower pattern; parent null at roots.
 
     Liu's rule takes the rows of a component in order, so a weak component is a unit of work;
-    components of all graphs are spread over the tasks. Sizes of components bound the tasks.
+    components of all graphs are spread over the tasks. One of more than ``max_task_rows`` rows is taken in ranges of rows.
     """
     comp = components(edges, nodes)
     loops = nodes.select("graph_id", F.col("node").alias("dst"), F.col("node").alias("src"))
-    work = edges.select("graph_id", "dst", "src").unionByName(loops).join(comp.select("graph_id", F.col("node").alias("dst"), "component"), ["graph_id", "dst"])
-    found = work.select(F.col("graph_id").alias("g"), "component", "dst", "src").repartition("g", "component").select("g", "dst", "src").mapInPandas(_parents, "g long, node long, parent long")
+    own = comp.select("graph_id", F.col("node").alias("dst"), "component")
+    work = cut(skew_join(edges.select("graph_id", "dst", "src").unionByName(loops), own, ["graph_id", "dst"]).select(F.col("graph_id").alias("g"), "component", "dst", "src"))
+    giants = cut(work.groupBy("g", "component").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > max_task_rows).select("g", "component"))  # at most rows / max_task_rows
+    none = giants.isEmpty()
+    whole = work if none else skew_join(work, giants, ["g", "component"], "left_anti")
+    found = whole.repartition("g", "component").select("g", "dst", "src").mapInPandas(_parents, _FOUND).select("g", "node", "parent")
+    if not none:
+        found = found.unionByName(_by_ranges(cut(skew_join(work, giants, ["g", "component"], "left_semi")), max_task_rows))
     return found.select(F.col("g").alias("graph_id"), "node", "parent")
 
 

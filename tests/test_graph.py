@@ -165,6 +165,14 @@ def test_hybrid_is_the_same_at_every_bound(spark, seed):
     assert whole == ranged and len(whole) == 80
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_elimination_tree_in_ranges(spark, seed):
+    e, v = dag(seed + 60, 70, 110)
+    ed, vd = spark.createDataFrame(e, E), spark.createDataFrame(v, V)
+    whole, ranged = (sorted(map(tuple, trees.elimination_tree(ed, vd, max_task_rows=n).collect())) for n in (400_000, 30))
+    assert whole == ranged and len(whole) == 70
+
+
 def test_scheduled_solve_follows_the_schedule(spark):
     e, v = dag(50, 40, 70)
     ed, vd = spark.createDataFrame(e, E), spark.createDataFrame(v, V)
