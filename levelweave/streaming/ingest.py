@@ -31,7 +31,9 @@ def daily_counts(records: DataFrame, late: str = "7 days") -> DataFrame:
     """Streaming percentile state: counts of (fname, day, metric, value), records redelivered within ``late`` counted once.
 
     ``records`` is a stream of run records; rows later than the watermark are not counted here,
-    but their own day's state from a table run combines with this one.
+    but their own day's state from a table run combines with this one. Days are those of UTC; the state
+    of a day is dropped once the watermark has passed it.
     """
     fresh = records.withWatermark("run_ts", late).dropDuplicatesWithinWatermark(["record_id"])
-    return value_counts(fresh, ["fname"], ["t_serial", "t_level"], F.to_date("run_ts"))
+    daily = fresh.withColumn("day", F.window("run_ts", "1 day"))
+    return value_counts(daily, ["fname"], ["t_serial", "t_level"], F.col("day")).withColumn("part", F.to_date("part.start"))

@@ -85,3 +85,7 @@ def test_streams(spark, tmp_path):
     counts.writeStream.outputMode("update").format("memory").queryName("counts").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp2")).start().awaitTermination(120)
     got = {(r["metric"], r["value"]): r["n"] for r in spark.table("counts").collect()}
     assert got == {("t_serial", 1.0): 2, ("t_level", 2.0): 1}
+    assert {r["part"] for r in spark.table("counts").collect()} == {t.date()}
+    plan = counts.writeStream.outputMode("append").format("memory").queryName("closed").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp3")).start()  # append needs a watermark on the groups
+    plan.awaitTermination(120)
+    assert plan.exception() is None
