@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from levelweave.functions import metrics
 from levelweave.model import edges, entries, is_topological, nodes
-from levelweave.operators import algebra, cells, graphs, grouping, levels, schedule, solve, trees, walks
+from levelweave.operators import algebra, cells, graphs, grouping, levels, schedule, solve, symbolic, trees, walks
 from levelweave.operators.hierarchy import figures, hierarchy
 from levelweave.plans.storage import cut
 from levelweave.sources import generators, matrix_market
@@ -286,15 +286,47 @@ def tree_relabelled(spark: SparkSession, d: str) -> DataFrame:
     return trees.relabelled(t, cut(trees.post_order(t)))
 
 
-@query()
+# --- symbolic factorisation
+
+
+_CC = "SELECT graph_id, src AS a, dst AS b FROM e UNION SELECT graph_id, dst, src FROM e"
+# L has an entry (i, j) if a way leads from j to i over nodes before j.
+_FILL = f"""WITH RECURSIVE {_E}, {_V}, {_M}, u AS ({_CC}), w AS (SELECT graph_id, node AS j, node AS x FROM v UNION SELECT w.graph_id, w.j, u.b FROM w JOIN u ON u.graph_id = w.graph_id AND u.a = w.x WHERE u.b < w.j),
+ f AS (SELECT DISTINCT w.graph_id, j, u.b AS i FROM w JOIN u ON u.graph_id = w.graph_id AND u.a = w.x WHERE u.b > w.j),
+ k AS (SELECT v.graph_id, v.node, min(i) AS parent, count(i) + 1 AS "count" FROM v LEFT JOIN f ON f.graph_id = v.graph_id AND f.j = v.node GROUP BY 1, 2)"""
+
+
+@query(_FILL + " SELECT graph_id, node, parent FROM k")
 def elimination_tree(spark: SparkSession, d: str) -> DataFrame:
     return trees.elimination_tree(*_graph(spark, d))
 
 
-# --- components
+@query(_FILL + ' SELECT graph_id, node, "count" FROM k')
+def factor_column_counts(spark: SparkSession, d: str) -> DataFrame:
+    e, v = _graph(spark, d)
+    return symbolic.column_counts(e, symbolic.factor_tree(e, v))
 
 
-_CC = "SELECT graph_id, src AS a, dst AS b FROM e UNION SELECT graph_id, dst, src FROM e"
+@query(_FILL + ' SELECT graph_id, CAST(sum("count") AS BIGINT) AS nnz, CAST(sum("count" * "count") AS BIGINT) AS flops FROM k GROUP BY 1')
+def factor_size(spark: SparkSession, d: str) -> DataFrame:
+    return trees.flops(symbolic.symbolic_factor(*_graph(spark, d)))
+
+
+@query(_FILL + """, c AS (SELECT graph_id, col, count(*) AS n FROM m GROUP BY 1, 2), r AS (SELECT f.graph_id, f.i AS node, sum(n) AS n FROM f JOIN c ON c.graph_id = f.graph_id AND c.col = f.j GROUP BY 1, 2)
+ SELECT v.graph_id, v.node, CAST(coalesce(c.n, 0) + coalesce(r.n, 0) AS BIGINT) AS cost FROM v LEFT JOIN c ON c.graph_id = v.graph_id AND c.col = v.node LEFT JOIN r ON r.graph_id = v.graph_id AND r.node = v.node""")
+def factor_row_costs(spark: SparkSession, d: str) -> DataFrame:
+    """Entries of the matrix in all columns that a row of the factor touches."""
+    e, v = _graph(spark, d)
+    n = algebra.per_column(_entries(spark, d)).select("graph_id", F.col("col").alias("node"), F.col("nnz").alias("weight"))
+    return symbolic.reach_costs(e, symbolic.factor_tree(e, v), cut(n)).withColumn("cost", F.col("cost").cast("long"))
+
+
+@query()
+def symbolic_factor(spark: SparkSession, d: str) -> DataFrame:
+    return symbolic.symbolic_factor(*_graph(spark, d))
+
+
+# --- components
 
 
 @query(f"WITH RECURSIVE {_E}, {_V}, u AS ({_CC}), w AS (SELECT graph_id, node, node AS c FROM v UNION SELECT w.graph_id, u.b, w.c FROM w JOIN u ON u.graph_id = w.graph_id AND u.a = w.node WHERE w.c < u.b) SELECT graph_id, node, min(c) AS component FROM w GROUP BY 1, 2")
