@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from levelweave.operators.cells import components, substitute, sweep
 from levelweave.operators.schedule import run_order
+from levelweave.plans.running import running_sums
 from levelweave.plans.skew import skew_join
 from levelweave.plans.storage import cut
 
@@ -49,15 +50,20 @@ def product(entries: DataFrame, x: DataFrame) -> DataFrame:
 
 
 def _factor(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows of the factor, in order; rows that are ``known`` are factored already and only read."""
     kept = [b for b in batches if len(b)]
     if not kept:
         return
     pdf = pd.concat(kept, ignore_index=True).sort_values(["g", "row", "col"])
     rows: dict[tuple[int, int], dict[int, float]] = {}
     out: list[tuple[int, int, int, float]] = []
-    for (g, i), part in pdf.groupby(["g", "row"], sort=False):
+    for (g, i, known), part in pdf.groupby(["g", "row", "known"], sort=False):
+        given = zip(part["col"].tolist(), part["val"].tolist())
+        if known:
+            rows[g, i] = dict(given)
+            continue
         mine: dict[int, float] = {}
-        for j, a in zip(part["col"].tolist(), part["val"].tolist()):
+        for j, a in given:
             other = mine if j == i else rows.get((g, j), {})
             s = a - sum(v * other[k] for k, v in mine.items() if k in other and k < j)
             if j == i:
@@ -67,16 +73,50 @@ def _factor(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 mine[j] = s / d if d else math.nan
         rows[g, i] = mine
         out += [(g, i, j, v) for j, v in mine.items()]
-    yield pd.DataFrame(out, columns=["graph_id", "row", "col", "val"])
+    yield pd.DataFrame(out, columns=["g", "row", "col", "val"])
 
 
-def incomplete_cholesky(entries: DataFrame, nodes: DataFrame) -> DataFrame:
+_FACTOR = "g long, row long, col long, val double"
+
+
+def incomplete_cholesky(entries: DataFrame, nodes: DataFrame, max_task_rows: int = 400_000) -> DataFrame:
     """IC(0): L with the pattern of the given lower triangle and L L^T = A on it.
 
-    Rows of a weak component are taken in order; components are spread over the tasks. A pivot that is
-    not positive makes its row NaN.
+    Rows of a weak component are taken in order; components are spread over the tasks. One of more than ``max_task_rows``
+    entries is taken in ranges of rows, each with the earlier rows of the factor that its entries name. A pivot that is
+    not positive makes its row NaN; null values count as 0.
     """
     edges = entries.filter("row > col").select("graph_id", F.col("col").alias("src"), F.col("row").alias("dst"))
     comp = components(edges, nodes).select("graph_id", F.col("node").alias("row"), "component")
-    work = entries.join(comp, ["graph_id", "row"]).select(F.col("graph_id").alias("g"), "component", "row", "col", F.coalesce("val", F.lit(0.0)).alias("val"))
-    return work.repartition("g", "component").drop("component").mapInPandas(_factor, "graph_id long, row long, col long, val double")
+    work = cut(skew_join(entries, comp, ["graph_id", "row"]).select(F.col("graph_id").alias("g"), "component", "row", "col", F.coalesce("val", F.lit(0.0)).alias("val"), F.lit(False).alias("known")))
+    giants = cut(work.groupBy("g", "component").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > max_task_rows).select("g", "component"))  # at most rows / max_task_rows
+    none = giants.isEmpty()
+    whole = work if none else skew_join(work, giants, ["g", "component"], "left_anti")
+    found = whole.repartition("g", "component").drop("component").mapInPandas(_factor, _FACTOR)
+    if not none:
+        found = found.unionByName(_factor_ranges(cut(skew_join(work, giants, ["g", "component"], "left_semi")), max_task_rows))
+    return found.withColumnRenamed("g", "graph_id")
+
+
+def _factor_ranges(work: DataFrame, max_task_rows: int) -> DataFrame:
+    """The factor of components larger than a task, range of rows after range."""
+    sizes = work.groupBy("g", "component", "row").agg(F.count(F.lit(1)).alias("n"))
+    ranged = running_sums(sizes, ["g", "component"], ["row"], "n").select("g", "row", F.floor((F.col("running") - F.col("n")) / max_task_rows).cast("int").alias("range"))
+    placed = cut(skew_join(work, ranged, ["g", "row"]), ["range"])
+    done = None
+    for k in range(placed.agg(F.max("range")).first()[0] + 1):
+        now = placed.filter(F.col("range") == k).drop("range")
+        if done is not None:
+            named = now.select("g", "component", F.col("col").alias("row")).distinct()
+            now = now.unionByName(done.join(named, ["g", "row"]).select("g", "component", "row", "col", "val", F.lit(True).alias("known")))
+        new = cut(now.repartition("g", "component").drop("component").mapInPandas(_factor, _FACTOR))
+        done = new if done is None else done.unionByName(new)
+    return done
+
+
+def factor_product(factor: DataFrame) -> DataFrame:
+    """(graph_id, row, col, val): L L^T at the positions of L; for each entry (i, j) the columns of row j are looked up in row i."""
+    at = factor.select("graph_id", F.col("row").alias("j"), F.col("col").alias("k"), F.col("val").alias("y"))
+    other = factor.select("graph_id", "row", F.col("col").alias("k"), F.col("val").alias("x"))
+    pairs = factor.select("graph_id", "row", F.col("col").alias("j")).join(at, ["graph_id", "j"]).join(other, ["graph_id", "row", "k"])
+    return pairs.groupBy("graph_id", "row", F.col("j").alias("col")).agg(F.sum(F.col("x") * F.col("y")).alias("val"))

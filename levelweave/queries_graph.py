@@ -630,8 +630,7 @@ def factor_stats(spark: SparkSession, d: str) -> DataFrame:
     return metrics.factor_stats(_entries(spark, d))
 
 
-@query()
-def incomplete_cholesky(spark: SparkSession, d: str) -> DataFrame:
+def _factored(spark: SparkSession, d: str) -> DataFrame:
     """Factor of the Laplacian-like matrix with off-diagonals -1 and diagonal 1 + degree."""
     e, v = _graph(spark, d)
     ends = e.select("graph_id", F.explode(F.array("src", "dst")).alias("node")).groupBy("graph_id", "node").agg(F.count(F.lit(1)).alias("n"))
@@ -640,6 +639,18 @@ def incomplete_cholesky(spark: SparkSession, d: str) -> DataFrame:
     return solve.incomplete_cholesky(lower, v)
 
 
+@query()
+def incomplete_cholesky(spark: SparkSession, d: str) -> DataFrame:
+    return _factored(spark, d)
+
+
+@query(f"""WITH {_E}, {_V}, x AS (SELECT graph_id, src AS node FROM e UNION ALL SELECT graph_id, dst FROM e), n AS (SELECT graph_id, node, count(*) AS n FROM x GROUP BY 1, 2)
+ SELECT graph_id, dst AS "row", src AS col, CAST(-1 AS DOUBLE) AS val FROM e UNION ALL SELECT v.graph_id, v.node, v.node, CAST(1 + coalesce(n, 0) AS DOUBLE) FROM v LEFT JOIN n ON n.graph_id = v.graph_id AND n.node = v.node""")
+def cholesky_product(spark: SparkSession, d: str) -> DataFrame:
+    """The factor times its transpose is the matrix again, on its pattern."""
+    return solve.factor_product(cut(_factored(spark, d))).withColumn("val", F.round("val", 6))
+
+
 @query()
 def depth_first_order(spark: SparkSession, d: str) -> DataFrame:
     return walks.depth_first_order(*_graph(spark, d))
@@ -687,6 +698,16 @@ def fused_level_set(spark: SparkSession, d: str) -> DataFrame:
     return levels.level_sets(*_fused(spark, d))
 
 
+@query(f"""WITH {_E}, {_V}, {_M}, n AS (SELECT graph_id, max(node) + 1 AS n FROM v GROUP BY 1)
+ SELECT e.graph_id, src + q * n AS src, dst + q * n AS dst FROM e JOIN n ON n.graph_id = e.graph_id, (SELECT unnest([0, 1, 2]) AS q) UNION ALL SELECT m.graph_id, col + q * n, "row" + (q + 1) * n FROM m JOIN n ON n.graph_id = m.graph_id, (SELECT unnest([0, 1]) AS q)""")
+def fused_chain(spark: SparkSession, d: str) -> DataFrame:
+    """Three kernels in a row, each taking the product of the matrix and the result before."""
+    two, v = _fused(spark, d)
+    n = nodes(table(spark, d, "matrix")).groupBy("graph_id").agg((F.max("node") + 1).alias("n"))
+    between = _entries(spark, d).join(n, "graph_id").select("graph_id", (F.col("col") + F.col("n")).alias("src"), F.col("row").alias("dst"))
+    return graphs.merged_with(two, between, edges(table(spark, d, "matrix")), v)
+
+
 def _tree_plan(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     t = _tree(spark, d)
     height = cut(figures(t).select("graph_id", "node", F.col("height").cast("int").alias("level")))
@@ -726,6 +747,43 @@ def block_schedule_violations(spark: SparkSession, d: str) -> DataFrame:
     return schedule.checked(schedule.ungrouped(s, g), e, v)
 
 
+def _tree_plan_of_matrix(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Load-balanced coarsening of a matrix through its elimination tree, columns priced by their entries in the factor."""
+    e, v = _graph(spark, d)
+    t = symbolic.factor_tree(e, v)
+    height = cut(figures(t).select("graph_id", "node", F.col("height").cast("int").alias("level")))
+    cost = cut(symbolic.column_counts(e, t).select("graph_id", "node", F.col("count").cast("double").alias("cost")))
+    return e, v, cut(schedule.coarsened_tree(t, height, cost, bins=6))
+
+
+@query()
+def factor_schedule(spark: SparkSession, d: str) -> DataFrame:
+    return _tree_plan_of_matrix(spark, d)[2]
+
+
+@query(_VALID)
+def factor_schedule_violations(spark: SparkSession, d: str) -> DataFrame:
+    e, v, s = _tree_plan_of_matrix(spark, d)
+    return schedule.checked(s, e, v)
+
+
+def _reduced_plan(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Cliques made chains, two-hop edges removed, groups of capped breadth-first trees, merged while balanced, expanded."""
+    e, v = _graph(spark, d)
+    reduced = cut(graphs.two_hop_reduction(cut(graphs.cliques_to_chains(e, v))))
+    g = cut(walks.capped_trees(reduced, v, most=32, breadth_first=True))
+    q = cut(grouping.group_edges(reduced, g))
+    members = g.select("graph_id", F.col("group").alias("node")).distinct()
+    coarse = schedule.hybrid(q, cut(levels.level_sets(q, members)), schedule.group_costs(_costs(spark, d), g), cores=8)
+    return e, v, cut(schedule.ungrouped(coarse, g))
+
+
+@query(_VALID)
+def reduced_schedule_violations(spark: SparkSession, d: str) -> DataFrame:
+    e, v, s = _reduced_plan(spark, d)
+    return schedule.checked(s, e, v)
+
+
 @query("SELECT record_id, ingest_ts, CASE WHEN t_serial > t_level THEN t_group_level / (t_serial - t_level) END AS runs FROM metrics")
 def profitable_runs(spark: SparkSession, d: str) -> DataFrame:
     """After how many runs the parallel solve has saved what the grouping took."""

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from levelweave.functions import metrics
-from levelweave.operators import cells, graphs, grouping, levels, schedule, solve, trees
+from levelweave.operators import cells, graphs, grouping, levels, schedule, solve, symbolic, trees
 from levelweave.operators.hierarchy import hierarchy
 
 E, V = "graph_id long, src long, dst long", "graph_id long, node long"
@@ -213,3 +213,49 @@ def test_padded_blocks(spark):
     m = spark.createDataFrame([(1, i, j, float(i + j + 1)) for i in range(3) for j in range(i + 1)], "graph_id long, row long, col long, val double")
     blocks = grouping.padded_blocks(m, groups)
     assert {tuple(r) for r in grouping.unpadded(blocks).collect()} == {tuple(r) for r in m.collect()}
+
+
+def test_symbolic_sizes_against_elimination(spark):
+    """Column counts, row costs and the relabelled tree, against eliminating column by column."""
+    rows, ids = [], []
+    for g, n, m in ((1, 30, 60), (2, 25, 20), (3, 1, 0), (4, 20, 150)):
+        e, v = dag(g, n, m, g) if m else ([], [(g, 0)])
+        rows, ids = rows + e, ids + v
+    ed, vd = spark.createDataFrame(rows, E), spark.createDataFrame(ids, V)
+    below = {x: {b for g, a, b in rows if (g, a) == x} for x in ids}
+    orig = {x: len(s) + 1 for x, s in below.items()}
+    for g, v in sorted(ids):
+        if below[g, v]:
+            first = min(below[g, v])
+            below[g, first] |= below[g, v] - {first}
+    tree = symbolic.factor_tree(ed, vd)
+    counts = {(r["graph_id"], r["node"]): r["count"] for r in symbolic.column_counts(ed, tree).collect()}
+    assert counts == {x: len(s) + 1 for x, s in below.items()}
+    weights = spark.createDataFrame([(*x, k) for x, k in orig.items()], "graph_id long, node long, weight long")
+    got = {(r["graph_id"], r["node"]): r["cost"] for r in symbolic.reach_costs(ed, tree, weights).collect()}
+    assert got == {(g, i): orig[g, i] + sum(orig[g, j] for (h, j), s in below.items() if h == g and i in s) for g, i in ids}
+    named = symbolic.symbolic_factor(ed, vd).collect()
+    new = {(r["graph_id"], r["old"]): r["node"] for r in named}
+    assert all(r["count"] == counts[r["graph_id"], r["old"]] for r in named)
+    assert all(r["parent"] == (new[r["graph_id"], min(s)] if (s := below[r["graph_id"], r["old"]]) else None) for r in named)
+    for g in (1, 2, 3, 4):
+        assert sorted(v for (h, _), v in new.items() if h == g) == list(range(sum(h == g for h, _ in ids)))
+    assert all(r["parent"] is None or r["parent"] > r["node"] for r in named)
+
+
+def test_symbolic_of_empty_graph(spark):
+    ed, vd = spark.createDataFrame([], E), spark.createDataFrame([], V)
+    assert symbolic.symbolic_factor(ed, vd).collect() == []
+
+
+def test_incomplete_cholesky_by_ranges(spark):
+    e, v = dag(11, 40, 90)
+    degree = {x: sum(x in (a, b) for _, a, b in e) for _, x in v}
+    low = [(1, b, a, -1.0) for _, a, b in e] + [(1, x, x, 1.0 + degree[x]) for x in degree]
+    m = spark.createDataFrame(low, "graph_id long, row long, col long, val double")
+    vd = spark.createDataFrame(v, V)
+    key = lambda df: {(r["row"], r["col"]): round(r["val"], 9) for r in df.collect()}
+    whole = solve.incomplete_cholesky(m, vd)
+    assert key(whole) == key(solve.incomplete_cholesky(m, vd, max_task_rows=15))
+    back = {(r["row"], r["col"]): r["val"] for r in solve.factor_product(whole).collect()}
+    assert back == pytest.approx({(r, c): x for _, r, c, x in low})

@@ -54,6 +54,57 @@ def test_runs_and_parts(spark):
     assert len(parts) == 50 and max(held.values()) <= 5
 
 
+def python_capped(e, n, most, wide):
+    """The rule on the whole graph at once."""
+    succ, pred, group = {v: [] for v in range(n)}, {v: [] for v in range(n)}, {}
+    for a, b in e:
+        succ[a].append(b)
+        pred[b].append(a)
+    for top in reversed(range(n)):
+        if top in group:
+            continue
+        group[top], size, queue, closed = top, 1, [top], False
+        while queue and not closed:
+            v = queue.pop(0 if wide else -1)
+            for u in pred[v]:
+                if u in group:
+                    continue
+                if len(succ[u]) > 1:
+                    closed = closed or wide
+                elif size < most:
+                    group[u], size = top, size + 1
+                    queue.append(u)
+    return group
+
+
+def python_runs(e, n, window):
+    succ, group = {v: sorted(b for a, b in e if a == v) for v in range(n)}, {}
+    for head in range(n):
+        if head in group:
+            continue
+        group[head], last, pending = head, head, set(succ[head][:window])
+        while last + 1 in pending:
+            last += 1
+            group[last] = head
+            pending = set(sorted((pending | set(succ[last])) - {last})[:window])
+    return group
+
+
+def test_units_give_what_the_whole_graph_gives(spark):
+    for seed, n, m in ((5, 60, 55), (6, 60, 90), (7, 40, 300)):
+        e, ed, vd = make(spark, seed, n, m)
+        for wide in (False, True):
+            assert {r["node"]: r["group"] for r in walks.capped_trees(ed, vd, 4, wide).collect()} == python_capped(e, n, 4, wide)
+        for window in (1, 3, 50):
+            for most in (10**6, 7):
+                assert {r["node"]: r["group"] for r in walks.greedy_runs(ed, vd, window, max_task_rows=most).collect()} == python_runs(e, n, window)
+
+
+def test_walks_of_empty_graphs(spark):
+    ed, vd = spark.createDataFrame([], E), spark.createDataFrame([], V)
+    assert walks.capped_trees(ed, vd, 4).collect() == [] and walks.greedy_runs(ed, vd, 4).collect() == []
+
+
 def test_split_and_bundles(spark):
     items = spark.createDataFrame([(1, k, float(1 + k % 3)) for k in range(90)], "graph_id long, pos long, weight double")
     parts = {r["pos"]: r["part"] for r in schedule.partition_by_weight(items, 4).collect()}
