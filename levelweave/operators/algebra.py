@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from levelweave.plans.skew import skew_join
+
 POSITION = ["graph_id", "row", "col"]
 
 
@@ -56,7 +58,7 @@ def permute(m: DataFrame, rows: DataFrame, cols: DataFrame) -> DataFrame:
     """C with C[rows(i), cols(j)] = A[i, j]; positions without an image are left out."""
     r = rows.select("graph_id", F.col("old").alias("row"), F.col("new").alias("new_row"))
     c = cols.select("graph_id", F.col("old").alias("col"), F.col("new").alias("new_col"))
-    return m.join(r, ["graph_id", "row"]).join(c, ["graph_id", "col"]).select("graph_id", F.col("new_row").alias("row"), F.col("new_col").alias("col"), "val")
+    return skew_join(skew_join(m, r, ["graph_id", "row"]), c, ["graph_id", "col"]).select("graph_id", F.col("new_row").alias("row"), F.col("new_col").alias("col"), "val")
 
 
 def permute_symmetric(half: DataFrame, perm: DataFrame) -> DataFrame:
@@ -160,8 +162,10 @@ def one_based(m: DataFrame) -> DataFrame:
 def compressed(m: DataFrame, width: int = 4096) -> DataFrame:
     """(graph_id, col_lo, n, nnz, p): column pointers in slabs of ``width`` columns, empty columns included."""
     counts = per_column(m).withColumn("slab", F.floor(F.col("col") / width))
-    per_slab = counts.groupBy("graph_id", "slab").agg(F.map_from_entries(F.collect_list(F.struct("col", "nnz"))).alias("at"), F.max("col").alias("last"), F.sum("nnz").alias("nnz"))
+    per_slab = counts.groupBy("graph_id", "slab").agg(F.max("col").alias("last"), F.sum("nnz").alias("nnz"))
     lo = F.col("slab") * width
-    sizes = F.transform(F.sequence(lo, F.col("last")), lambda c: F.coalesce(F.element_at("at", c), F.lit(0)))
-    p = F.aggregate(sizes, F.array(F.lit(0).cast("long")), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
-    return per_slab.select("graph_id", lo.alias("col_lo"), (F.col("last") - lo + 1).alias("n"), "nnz", p.alias("p"))
+    dense = per_slab.select("graph_id", "slab", "last", "nnz", F.explode(F.sequence(lo, F.col("last"))).alias("col"))
+    filled = dense.join(counts.select("graph_id", "slab", "col", F.col("nnz").alias("own")), ["graph_id", "slab", "col"], "left")
+    end = F.sum(F.coalesce("own", F.lit(0))).over(W.partitionBy("graph_id", "slab").orderBy("col"))
+    ends = filled.withColumn("end", end).groupBy("graph_id", "slab", "last", "nnz").agg(F.array_sort(F.collect_list("end")).alias("ends"))  # ends never fall; at most ``width`` a row
+    return ends.select("graph_id", lo.alias("col_lo"), (F.col("last") - lo + 1).alias("n"), "nnz", F.concat(F.array(F.lit(0).cast("long")), "ends").alias("p"))

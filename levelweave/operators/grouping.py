@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from levelweave.operators.hierarchy import hierarchy
+from levelweave.plans.skew import skew_join
 
 BLOCK = 65536
 
@@ -89,7 +90,7 @@ def group_edges(edges: DataFrame, groups: DataFrame) -> DataFrame:
     """The quotient graph: distinct edges between groups."""
     s = groups.select("graph_id", F.col("node").alias("src"), F.col("group").alias("s"))
     t = groups.select("graph_id", F.col("node").alias("dst"), F.col("group").alias("t"))
-    return edges.join(s, ["graph_id", "src"]).join(t, ["graph_id", "dst"]).filter("s <> t").select("graph_id", F.col("s").alias("src"), F.col("t").alias("dst")).distinct()
+    return skew_join(skew_join(edges, s, ["graph_id", "src"]), t, ["graph_id", "dst"]).filter("s <> t").select("graph_id", F.col("s").alias("src"), F.col("t").alias("dst")).distinct()
 
 
 def group_sizes(groups: DataFrame, cost: Column | None = None) -> DataFrame:

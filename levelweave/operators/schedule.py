@@ -115,7 +115,7 @@ def window_components(edges: DataFrame, placed: DataFrame, costs: DataFrame | No
     """
     s = placed.select("graph_id", F.col("node").alias("src"), "window")
     t = placed.select("graph_id", F.col("node").alias("dst"), F.col("window").alias("w2"))
-    inner = edges.join(s, ["graph_id", "src"]).join(t, ["graph_id", "dst"]).filter("window = w2").select("graph_id", "window", "src", "dst")
+    inner = skew_join(skew_join(edges, s, ["graph_id", "src"]), t, ["graph_id", "dst"]).filter("window = w2").select("graph_id", "window", "src", "dst")
     comp = components(inner, placed.select("graph_id", "node", "window"), within="window")
     priced = comp.join(costs, ["graph_id", "node"], "left") if costs is not None else comp.withColumn("cost", F.lit(1).cast("double"))
     return comp, priced.groupBy("graph_id", "window", "component").agg(F.sum(F.coalesce("cost", F.lit(0.0))).alias("cost"))
@@ -330,7 +330,7 @@ def quotient(schedule: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges between the (level, part) pairs of a schedule."""
     s = schedule.select("graph_id", F.col("node").alias("src"), F.col("level").alias("src_level"), F.col("part").alias("src_part"))
     t = schedule.select("graph_id", F.col("node").alias("dst"), F.col("level").alias("dst_level"), F.col("part").alias("dst_part"))
-    pairs = edges.join(s, ["graph_id", "src"]).join(t, ["graph_id", "dst"])
+    pairs = skew_join(skew_join(edges, s, ["graph_id", "src"]), t, ["graph_id", "dst"])
     return pairs.filter("src_level <> dst_level or src_part <> dst_part").select("graph_id", "src_level", "src_part", "dst_level", "dst_part").distinct()
 
 
@@ -340,7 +340,7 @@ def violations(schedule: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataF
     cover = nodes.select("graph_id", "node").join(count, ["graph_id", "node"], "full").filter("times is null or times <> 1").select("graph_id", F.lit("cover").alias("kind"), "node", F.col("times").alias("other"))
     s = schedule.select("graph_id", F.col("node").alias("src"), F.col("level").alias("sl"), F.col("part").alias("sp"), F.col("node_level").alias("sn"))
     t = schedule.select("graph_id", F.col("node").alias("dst"), F.col("level").alias("tl"), F.col("part").alias("tp"), F.col("node_level").alias("tn"))
-    broken = edges.join(s, ["graph_id", "src"]).join(t, ["graph_id", "dst"]).filter(~((F.col("sl") < F.col("tl")) | ((F.col("sl") == F.col("tl")) & (F.col("sp") == F.col("tp")) & ((F.col("sn") < F.col("tn")) | ((F.col("sn") == F.col("tn")) & (F.col("src") < F.col("dst")))))))
+    broken = skew_join(skew_join(edges, s, ["graph_id", "src"]), t, ["graph_id", "dst"]).filter(~((F.col("sl") < F.col("tl")) | ((F.col("sl") == F.col("tl")) & (F.col("sp") == F.col("tp")) & ((F.col("sn") < F.col("tn")) | ((F.col("sn") == F.col("tn")) & (F.col("src") < F.col("dst")))))))
     return cover.unionByName(broken.select("graph_id", F.lit("order").alias("kind"), F.col("src").alias("node"), F.col("dst").alias("other")))
 
 
@@ -365,11 +365,11 @@ def kernel_costs(entries: DataFrame) -> DataFrame:
     m = entries.select("graph_id", "row", "col")
     r = m.groupBy("graph_id", F.col("row").alias("node")).agg(F.count(F.lit(1)).alias("dr"))
     c = m.groupBy("graph_id", F.col("col").alias("node")).agg(F.count(F.lit(1)).alias("dc"))
-    d = r.join(c, ["graph_id", "node"], "full").select("graph_id", "node", F.coalesce("dr", F.lit(0)).alias("dr"), F.coalesce("dc", F.lit(0)).alias("dc"))
+    d = cut(r.join(c, ["graph_id", "node"], "full").select("graph_id", "node", F.coalesce("dr", F.lit(0)).alias("dr"), F.coalesce("dc", F.lit(0)).alias("dc")))
     of_col = d.select("graph_id", F.col("node").alias("col"), "dr", "dc")
-    over_row = m.join(of_col, ["graph_id", "col"]).groupBy("graph_id", F.col("row").alias("node")).agg(F.sum("dc").alias("ic0_left"), F.sum("dr").alias("ilu0_up"))
+    over_row = skew_join(m, of_col, ["graph_id", "col"]).groupBy("graph_id", F.col("row").alias("node")).agg(F.sum("dc").alias("ic0_left"), F.sum("dr").alias("ilu0_up"))
     of_row = d.select("graph_id", F.col("node").alias("row"), "dc")
-    over_col = m.join(of_row, ["graph_id", "row"]).groupBy("graph_id", F.col("col").alias("node")).agg(F.sum("dc").alias("ic0_right"))
+    over_col = skew_join(m, of_row, ["graph_id", "row"]).groupBy("graph_id", F.col("col").alias("node")).agg(F.sum("dc").alias("ic0_right"))
     zero = lambda n: F.coalesce(n, F.lit(0)).alias(n)
     return d.join(over_row, ["graph_id", "node"], "left").join(over_col, ["graph_id", "node"], "left").select("graph_id", "node", F.col("dr").alias("sptrsv_left"), F.col("dc").alias("sptrsv_right"), zero("ic0_left"), zero("ic0_right"), zero("ilu0_up"))
 

@@ -122,7 +122,7 @@ def permutation_check(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {_M}, {_V}, {_DEG} SELECT m.graph_id, greatest(a.new, b.new) AS "row", least(a.new, b.new) AS col, val FROM m JOIN p a ON a.graph_id = m.graph_id AND a.old = m."row" JOIN p b ON b.graph_id = m.graph_id AND b.old = m.col""")
 def matrix_permuted(spark: SparkSession, d: str) -> DataFrame:
     m = _entries(spark, d)
-    return algebra.permute_symmetric(m, algebra.degree_order(m))
+    return algebra.permute_symmetric(m, cut(algebra.degree_order(m)))
 
 
 @query(f'WITH {_M} SELECT graph_id, "row" AS node, val FROM m WHERE "row" = col')
@@ -427,14 +427,14 @@ _QUOTIENT = 'SELECT DISTINCT e.graph_id, a."group" AS src, b."group" AS dst FROM
 @query(f"WITH RECURSIVE {_E}, {_V}, {_TREE_LINKS}{_TOPS} {_QUOTIENT}")
 def group_graph(spark: SparkSession, d: str) -> DataFrame:
     e, v = _graph(spark, d)
-    return grouping.group_edges(e, grouping.trees(e, v))
+    return grouping.group_edges(e, cut(grouping.trees(e, v)))
 
 
 @query(f"WITH RECURSIVE {_E}, {_V}, {_TREE_LINKS}{_TOPS}, q AS ({_QUOTIENT}) SELECT * FROM q WHERE src >= dst")
 def group_graph_disorder(spark: SparkSession, d: str) -> DataFrame:
     """Edges of the quotient graph that don't ascend: there are none."""
     e, v = _graph(spark, d)
-    return is_topological(grouping.group_edges(e, grouping.trees(e, v)))
+    return is_topological(grouping.group_edges(e, cut(grouping.trees(e, v))))
 
 
 @query(f"""WITH RECURSIVE {_E}, {_V}{_SUPER}, q AS (SELECT DISTINCT e.graph_id, a."group" AS src, b."group" AS dst FROM e JOIN g a ON a.graph_id = e.graph_id AND a.node = e.src JOIN g b ON b.graph_id = e.graph_id AND b.node = e.dst WHERE a."group" <> b."group"),
@@ -485,11 +485,11 @@ _DEGREES = """r AS (SELECT graph_id, "row" AS node, count(*) AS dr FROM m GROUP
 @query(f"""WITH {_M}, {_V}, {_DEGREES}, a AS (SELECT m.graph_id, m."row" AS node, CAST(sum(dc) AS BIGINT) AS l, CAST(sum(dr) AS BIGINT) AS u FROM m JOIN d ON d.graph_id = m.graph_id AND d.node = m.col GROUP BY 1, 2), b AS (SELECT m.graph_id, m.col AS node, CAST(sum(dc) AS BIGINT) AS l FROM m JOIN d ON d.graph_id = m.graph_id AND d.node = m."row" GROUP BY 1, 2)
  SELECT d.graph_id, d.node, dr AS sptrsv_left, dc AS sptrsv_right, coalesce(a.l, 0) AS ic0_left, coalesce(b.l, 0) AS ic0_right, coalesce(a.u, 0) AS ilu0_up FROM d LEFT JOIN a ON a.graph_id = d.graph_id AND a.node = d.node LEFT JOIN b ON b.graph_id = d.graph_id AND b.node = d.node""")
 def kernel_costs(spark: SparkSession, d: str) -> DataFrame:
-    return schedule.kernel_costs(_entries(spark, d))
+    return schedule.kernel_costs(cut(_entries(spark, d)))
 
 
 def _costs(spark: SparkSession, d: str) -> DataFrame:
-    return schedule.kernel_costs(_entries(spark, d)).select("graph_id", "node", F.col("sptrsv_left").cast("double").alias("cost"))
+    return schedule.kernel_costs(cut(_entries(spark, d))).select("graph_id", "node", F.col("sptrsv_left").cast("double").alias("cost"))
 
 
 def _coarsened(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -540,7 +540,7 @@ def _fixed_windows(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     e, _, placed = _windowed(spark, d, 3)
     comp, _ = schedule.window_components(e, placed.select("graph_id", "node", "window"))
     s = comp.join(placed.select("graph_id", "node", F.col("level").alias("node_level")), ["graph_id", "node"])
-    return e, s.select("graph_id", F.col("window").alias("level"), F.col("component").alias("part"), "node_level", "node")
+    return e, cut(s.select("graph_id", F.col("window").alias("level"), F.col("component").alias("part"), "node_level", "node"))
 
 
 _FIXED = _WINDOW + f""", {_M}, d AS (SELECT graph_id, "row" AS node, count(*) AS cost FROM m GROUP BY 1, 2),

@@ -23,7 +23,8 @@ def random_square(sizes: DataFrame, density: float, seed: int = 1, top: float =
 
     Every column draws its own rows, by a hash of seed, column and draw; a row drawn twice counts once.
     """
-    cols = sizes.select("graph_id", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("col"))
+    ranges = sizes.filter("n > 0").select("graph_id", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(65536).cast("long"))).alias("lo")).repartition("graph_id", "lo")
+    cols = ranges.select("graph_id", "n", F.explode(F.sequence("lo", F.least(F.col("lo") + 65535, F.col("n") - 1))).alias("col"))
     draws = cols.select("*", F.explode(F.sequence(F.lit(0), F.floor(F.col("n") * density).cast("int"))).alias("k"))
     row = F.when(F.col("k") == 0, F.col("col")).otherwise(F.pmod(F.xxhash64(F.lit(seed), "graph_id", "col", "k"), F.col("n")))
     part = F.pmod(F.xxhash64(F.lit(seed + 1), "graph_id", "col", "row"), F.lit(1_000_000_007)) / 1_000_000_007
